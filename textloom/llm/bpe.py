@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
 
@@ -227,7 +228,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, column: str = "text") -> Data
     results and an empty table an empty one. `tokenizer` is a path that executors can open.
     """
     docs = docs.drop("ids", "n_tokens", "decoded")
-    schema = docs.schema.add("ids", "binary").add("n_tokens", "long").add("decoded", "string")
+    schema = StructType(list(docs.schema)).add("ids", "binary").add("n_tokens", "long").add("decoded", "string")
     at = docs.columns.index(column)
 
     def run(batches):

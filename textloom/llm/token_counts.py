@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
 from .bpe import BLOCK_BYTES, CACHE_WORDS, PrefixBpe
@@ -178,7 +179,7 @@ def token_counts(docs: DataFrame, model: str, limit: int, column: str = "text",
     no tokens. Rows are independent: repeated rows repeat, an empty table stays empty.
     """
     docs = docs.drop("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_counts")
-    schema = docs.schema.add("n_tokens", "long").add("fit_chars", "long")
+    schema = StructType(list(docs.schema)).add("n_tokens", "long").add("fit_chars", "long")
     if prefixes:
         schema = schema.add("prefix_counts", "binary")
     at = docs.columns.index(column)
