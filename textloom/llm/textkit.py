@@ -23,6 +23,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Gaps for words of letters and digits only: every other ASCII byte.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that one vectorised step handles; a longer document is a block of its own.
@@ -92,15 +94,15 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES):
         row = stop
 
 
-def scan(column: pa.Array) -> Words:
-    """All words of a block, in order, with their hashes."""
+def scan(column: pa.Array, gaps: np.ndarray = _SPACE) -> Words:
+    """All words of a block, in order, with their hashes; gaps: the bytes between words."""
     offsets, data = raw(column)
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return Words(data, none, none, none, np.zeros(len(offsets), dtype=np.int64), np.zeros(0, dtype=np.uint64))
     data = _LOWER[data]
-    gap = _SPACE[data]
+    gap = gaps[data]
     head = ~gap
     tail = head.copy()
     solid = head.copy()
