@@ -72,3 +72,18 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan_licences, summary
+
+    return summary(scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
