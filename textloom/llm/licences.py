@@ -60,7 +60,7 @@ def grams_of(words: list[str]) -> set[str]:
 class Classifier:
     """Weights by feature, a bias for each class and the calibrated temperature; class 0 is unknown."""
 
-    def __init__(self, seed: int = 1, rounds: int = 60):
+    def __init__(self, seed: int = 1, rounds: int = 30):
         self.classes = ["unknown", *NOTICES]
         rng = random.Random(seed)
         rows = [(k, t) for k, name in enumerate(self.classes) for t in NOTICES.get(name, OTHERS if not k else [])]
@@ -81,7 +81,9 @@ class Classifier:
                     self.bias[c] += 0.1 * step
                     for f in features:
                         self.weights.setdefault(f, [0.0] * len(p))[c] += step / math.sqrt(len(features))
-        self.weights = {f: [round(x, 4) for x in w] for f, w in self.weights.items() if max(map(abs, w)) >= 0.05}
+        # features that only the foreign words brought are dropped
+        real = set().union(*(grams_of(words_of(t)) for _, t in rows))
+        self.weights = {f: [round(x, 4) for x in w] for f, w in self.weights.items() if f in real and max(map(abs, w)) >= 0.05}
         # the temperature under which held-out variants are most likely
         loss = {}
         for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):

@@ -87,3 +87,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkit
 
@@ -332,25 +333,34 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
     """Toxicity of every row of docs (doc_id, text), learnt from labels (doc_id, toxic).
 
-    Returns one row per input row: doc_id, held_out, score and predicted. Labels of
+    Returns one row per input row: doc_id, held_out, score and predicted; with keep=True
+    the columns of docs, then these three (which replace columns of these names). Labels of
     held-out ids are not read. A null text scores as the empty one, from the calibration
     alone; a null id is not held out; a document that is labelled twice is toxic if any
     label says so. Without labels of both classes every score is the share of toxic
     labels (0 without labels). Repeated rows repeat; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    whole = docs.drop("held_out", "score", "predicted")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("toxic"))
     shared = spark.sparkContext.broadcast(fit(*sample_labelled(docs, labels)))
 
+    source = whole if keep else docs
+    at_text = source.columns.index("text")
+
     def run(batches):
         model = shared.value
         for batch in batches:
-            for at, n in textkit.blocks(batch.column(1)):
-                yield pa.record_batch([batch.column(0).slice(at, n), pa.array(model.score(batch.column(1).slice(at, n)))], names=["doc_id", "score"])
-
-    out = docs.mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+            for at, n in textkit.blocks(batch.column(at_text)):
+                rows = batch.slice(at, n)
+                out = rows.columns if keep else rows.columns[:1]
+                yield pa.record_batch([*out, pa.array(model.score(rows.column(at_text)))], names=schema.names)
+
+    schema = StructType(list(source.schema) if keep else list(source.schema)[:1]).add("score", "double")
+    out = source.mapInArrow(run, schema)
+    kept = source.columns if keep else ["doc_id"]
+    return out.select(*kept, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
