@@ -13,7 +13,7 @@ def read_lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFra
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Rows (path, value), one for each whole file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
