@@ -153,32 +153,17 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end) of the part of text that is nearest to item; the first, then shortest of equals."""
-
-    def ends(pattern, words):
-        steps = np.arange(len(words) + 1)
-        row = np.zeros(len(words) + 1, dtype=np.int64)
-        for k, word in enumerate(pattern, 1):
-            new = np.empty_like(row)
-            new[0] = k
-            new[1:] = np.minimum(row[:-1] + (words != word), row[1:] + 1)
-            row = np.minimum.accumulate(new - steps) + steps
-        return row
-
-    row = ends(item, text)
+    """(edits, start, end) of the part of text that is nearest to item; the first end, then the shortest part."""
+    row = _distances(item, text, anchored=False)
     end = int(np.argmin(row))
-    back = ends(item[::-1], text[:end][::-1])
-    # from the end backwards: the shortest stretch with the same distance that ends there
-    anchored = _anchored(item[::-1], text[:end][::-1])
-    start = end - int(np.argmin(anchored))
-    assert back.min() <= row[end]
-    return int(row[end]), start, end
+    back = _distances(item[::-1], text[:end][::-1], anchored=True)
+    return int(row[end]), end - int(np.argmin(back)), end
 
 
-def _anchored(pattern, words):
-    """Edit distance of the whole pattern to each prefix of words."""
+def _distances(pattern: np.ndarray, words: np.ndarray, anchored: bool) -> np.ndarray:
+    """Edits from the whole pattern to a part of words that ends at each place, and starts at 0 if anchored."""
     steps = np.arange(len(words) + 1)
-    row = steps.copy()
+    row = steps.copy() if anchored else np.zeros_like(steps)
     for k, word in enumerate(pattern, 1):
         new = np.empty_like(row)
         new[0] = k

@@ -109,7 +109,9 @@ def _train_texts(batch):
 
 def _packed(bucket: np.ndarray, columns, count: np.ndarray, contexts: np.ndarray | None = None):
     """A row (bucket, data) for each range: sizes, large counts, [distinct contexts and their sizes,] columns, counts."""
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    if not len(bucket):
+        return
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
         short, rest = _short(count[a:b])
         extra = b""
