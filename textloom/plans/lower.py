@@ -290,7 +290,11 @@ def _tokens(term: Term, copying: bool) -> Callable[[Column], Column]:
         c = cases[0]
         if len(c.output) == 1 and isinstance(c.output[0], int):
             return lambda value: F.array_join(F.regexp_extract_all(value, F.lit("(?s)" + c.regex), F.lit(c.output[0])), "")
-    every = "(?s)" + "|".join(f"(?:{_plain(c.regex)})" for c in cases) + "|."
+    every = "(?s)" + "|".join(f"(?:{_plain(c.regex)})" for c in cases)
+    if rest == Sym(ANY):
+        # symbols with which no token begins are taken together
+        others = ~_first(Alt(tuple(items)))
+        every += (f"|{others.java()}+" if others else "") + "|."
 
     def column(value: Column) -> Column:
         def render(token: Column) -> Column:
@@ -302,6 +306,25 @@ def _tokens(term: Term, copying: bool) -> Callable[[Column], Column]:
     return column
 
 
+def _first(term: Term) -> CharSet:
+    """Symbols that a term can begin with."""
+    if isinstance(term, Sym):
+        return term.chars
+    if isinstance(term, Alt):
+        out = CharSet(())
+        for i in term.items:
+            out = out | _first(i)
+        return out
+    if isinstance(term, Seq):
+        out = CharSet(())
+        for i in term.items:
+            out = out | _first(i)
+            if not nullable(i):
+                break
+        return out
+    return _first(term.body) if isinstance(term, (Repeat, Drop, Into)) else CharSet(())
+
+
 def _parts(term: Term):
     yield term
     for t in term.items if isinstance(term, (Seq, Alt)) else (term.body,) if isinstance(term, (Repeat, Drop, Into)) else ():
