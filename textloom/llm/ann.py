@@ -14,6 +14,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def distances(query: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the vectors that take part: of the most common length, finite, not zero."""
+    """vec_id and embedding (doubles) of the vectors that take part: of any length, finite, not zero."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
@@ -155,14 +156,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     base = usable(vectors)
     asked = usable(queries).dropDuplicates(["vec_id"])
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).collect()
+    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).select("embedding").toArrow().column(0).combine_chunks()
     kind = "query_id long, vec_id long, score double"
-    if not sample:
+    if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # one tree for each length of vector; unusual lengths get a single leaf
     trees, visits = {}, {}
-    for dim in sorted({len(r.embedding) for r in sample}):
-        data = np.array([r.embedding for r in sample if len(r.embedding) == dim])
+    dims = pc.list_value_length(sample).to_numpy()
+    for dim in np.unique(dims).tolist():
+        data = _matrix(sample.filter(pa.array(dims == dim)))
         trees[dim] = Tree(data)
         visits[dim] = _calibrated(trees[dim], data, k)
     shared = spark.sparkContext.broadcast((trees, visits))
@@ -170,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def index(batches):
         trees, _ = shared.value
         for batch in batches:
-            dims = pa.compute.list_value_length(batch.column(1)).to_numpy()
+            dims = pc.list_value_length(batch.column(1)).to_numpy()
             leaf = np.zeros(len(dims), dtype=np.int64)
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)

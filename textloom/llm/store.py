@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +33,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table that is no longer read."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, so that later steps depend on files only."""
     path = new_path(df.sparkSession, name)
@@ -49,8 +42,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a settled table is proven to fit a broadcast."""
-    most = limit // row_bytes
-    return df.limit(most + 1).count() <= most
+    return df.count() <= limit // row_bytes
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, how: str, column: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from . import textkit
 
 #: Labelled rows that a model is fitted on, at most: toxic, clean; and the longest text among them in bytes.
-FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 3000, 6000, 200_000
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 3000, 6000, 20_000
 LANDMARKS, NEGATIVES, ROUNDS = 240, 8_000, 3
 DECAY = 0.6
 #: Score from which a document counts as toxic.
