@@ -54,6 +54,11 @@ class Sampler:
             if repetitions is None:
                 draws = draws[: self._enough(members, draws)]
             self.bands.append((1 << int(k), draws))
+        # openings that some repetition can go on from
+        self.begins = np.zeros(1 << 18, dtype=bool)
+        for _, draws in self.bands:
+            for draw in draws:
+                self.begins |= draw["keys"][0].bits
 
     def _draw(self, members: np.ndarray, words: int, rng: np.random.Generator) -> dict:
         steps = _steps(words, rng)
@@ -121,14 +126,23 @@ def _advance(flat, ends, at, key, coins, step, target):
         step += 1
 
 
-def find(flat: np.ndarray, ends: np.ndarray, draw: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def openings(flat: np.ndarray) -> np.ndarray:
+    """The key that every walk has after its first step, which reads the window's first word."""
+    return textkit.mix(flat + _U(1))
+
+
+def find(flat: np.ndarray, ends: np.ndarray, draw: dict, start: np.ndarray | None = None, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that a repetition matches: (first word, item, place in the item).
 
-    flat: words of a block; ends: for each word where its document ends.
+    flat: words of a block; ends: for each word where its document ends; start, key: the
+    windows looked at and their openings (all of them if not given).
     """
-    start = np.arange(len(flat))
-    at, key, step = start, np.zeros(len(flat), _U), 0
-    for s, lookup in zip(draw["steps"], draw["keys"], strict=True):
+    if start is None:
+        start, key = np.arange(len(flat)), openings(flat)
+    keep = draw["keys"][0].maybe(key)
+    start, key = start[keep], key[keep]
+    at, ends, step = start, ends[start], 0
+    for s, lookup in zip(draw["steps"][1:], draw["keys"][1:], strict=True):
         at, key, step = _advance(flat, ends, at, key, draw["coins"], step, int(s))
         keep = lookup.maybe(key)
         start, at, key, ends = start[keep], at[keep], key[keep], ends[keep]
@@ -180,10 +194,13 @@ def _matches(words: textkit.Words, sampler: Sampler) -> Iterator[tuple[int, int,
     ends = words.first[doc + 1]
     tried: set[tuple[int, int, int]] = set()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    bags: dict[int, np.ndarray] = {}
+    bags: dict[int, set[int]] = {}
+    key = openings(flat)
+    windows = np.flatnonzero(sampler.begins[(key >> _U(46)).astype(np.int64)])
+    key = key[windows]
     for _, draws in sampler.bands:
         for draw in draws:
-            at, items, offsets = find(flat, ends, draw)
+            at, items, offsets = find(flat, ends, draw, windows, key)
             for p, m, o in zip(at.tolist(), items.tolist(), offsets.tolist(), strict=True):
                 row, item = int(doc[p]), sampler.items[m]
                 most = int(MAX_EDITS * len(item))
@@ -195,9 +212,9 @@ def _matches(words: textkit.Words, sampler: Sampler) -> Iterator[tuple[int, int,
                 high = min(p - o + len(item) + 2 * most + 1, int(words.first[row + 1]))
                 bag = bags.get(m)
                 if bag is None:
-                    bag = bags[m] = np.unique(item)
+                    bag = bags[m] = set(item.tolist())
                 # an edit removes one kind of word at most
-                if int(np.isin(bag, flat[low:high]).sum()) < len(bag) - most:
+                if len(bag.intersection(flat[low:high].tolist())) < len(bag) - most:
                     continue
                 edits, start, end = align(item, flat[low:high])
                 if edits <= most and (edits, low + start, low + end) < best.get((row, m), (most + 1, 0, 0)):
