@@ -24,7 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ssjoin import similarity_classes
 
-    return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+ORACLES["op8_ngram_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words
+), classes AS (
+  SELECT s, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY s
+), members AS (
+  SELECT class_id, len(s) AS n, unnest(s) AS g FROM classes
+), links AS (
+  SELECT a.class_id AS x, b.class_id AS y FROM members a JOIN members b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach(x, y) AS (
+  SELECT class_id, class_id FROM classes UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), components AS (
+  SELECT x AS class_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id, coalesce(classes.class_id, sets.doc_id) AS class_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components ON classes.class_id = components.class_id
+"""
 
 
 @query
