@@ -21,6 +21,8 @@ PROGRAMS = [
     "main := a@/[^\\n]*\\n/ b@/[^\\n]*\\n/ !b !a",
     'main := "$1\\\\5" /[a-z]/ "7" /.*/',
     "main := /x/ main | /./ main | 1",
+    'main := (~/a/ [as += "a"] | ~/[0-9]+/ [ns += "#"] [as += "n"] | ~/./)* !ns "-" !as',
+    'main := (/l+/ [ls += "l"] | "<" /[0-9]/ ">" [ds += "d"] | /./)* !ls !ds',
 ]
 
 

@@ -306,6 +306,40 @@ def _tokens(term: Term, copying: bool) -> Callable[[Column], Column]:
     return column
 
 
+def _collected(term: Term, copying: bool) -> Callable[[Column], Column]:
+    """A loop of tokens that append to registers, then the registers: each register is the tokens' output of its own."""
+    if not (isinstance(term, Seq) and isinstance(term.items[0], Repeat) and all(isinstance(t, (Emit, Text)) for t in term.items[1:])):
+        raise NotNative("not a loop followed by registers")
+    loop, tail = term.items[0], term.items[1:]
+    *items, rest = _alternatives(loop.body)
+    names = [t.register for t in tail if isinstance(t, Emit)]
+    if copying or len(set(names)) < len(names):
+        raise NotNative("a register is written twice")
+
+    def output(name: str | None) -> Term:
+        """The loop with what its tokens give to one register, or to the output."""
+        out = []
+        for item in items:
+            parts: list[Term] = []
+            for part in item.items if isinstance(item, Seq) else (item,):
+                if isinstance(part, Assign) and part.register in names:
+                    if part.items[0] != Emit(part.register) or any(isinstance(i, Emit) for i in part.items[1:]):
+                        raise NotNative("a register is not only appended to")
+                    parts.extend(part.items[1:] if part.register == name else ())
+                elif isinstance(part, (Into, Emit, Assign)):
+                    raise NotNative("tokens use other registers")
+                else:
+                    parts.append(part if name is None or not (isinstance(part, Text) or pure(part)) else Empty() if isinstance(part, Text) else Drop(part))
+            out.append(Seq(tuple(p for p in parts if not isinstance(p, Empty))))
+        return Repeat(Alt((*out, rest if name is None else Drop(Sym(ANY)))), loop.low, loop.high, loop.lazy)
+
+    silent = rest == Drop(Sym(ANY)) and not any(isinstance(p, Text) or pure(p) for i in items for p in (i.items if isinstance(i, Seq) else (i,)))
+    made = [] if silent else [_tokens(output(None), copying)]
+    _tokens(output(names[0]) if names else loop, copying)  # the loop itself is checked even if nothing is written
+    made += [(lambda value, t=t: F.lit(t.value)) if isinstance(t, Text) else _tokens(output(t.register), copying) for t in tail]
+    return lambda value: F.when(value.isNotNull(), F.concat(*[form(value) for form in made]))
+
+
 def _first(term: Term) -> CharSet:
     """Symbols that a term can begin with."""
     if isinstance(term, Sym):
@@ -352,7 +386,7 @@ def _mapped(items: list[Term]) -> tuple[str, str] | None:
     return source, target
 
 
-FORMS = (("tokens", _tokens), ("lines", _lines))
+FORMS = (("tokens", _tokens), ("collected", _collected), ("lines", _lines))
 
 
 def lower(source: Source, rule: str, copying: bool = False) -> tuple[str, Callable[[Column], Column]]:
