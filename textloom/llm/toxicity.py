@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from . import textkit
 
 #: Labelled rows that a model is fitted on, at most: toxic, clean; and the longest text among them in bytes.
-FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 3000, 6000, 20_000
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1500, 3000, 20_000
 LANDMARKS, NEGATIVES, ROUNDS = 240, 8_000, 3
 DECAY = 0.6
 #: Score from which a document counts as toxic.
@@ -37,7 +37,7 @@ WIDTH = 20
 
 _GAPS = [(a, b) for a in range(3) for b in range(3 - a)]
 #: Byte classes: 0 nothing, 1 begin, 2 end, letters, digits, other ASCII, bytes of other characters.
-_CLASS = np.array([3 + b - 97 if 97 <= b <= 122 else 3 + b - 65 if 65 <= b <= 90 else 29 + b - 48 if 48 <= b <= 57 else 39 if b < 128 else 40 + b % 24 for b in range(256)], dtype=np.int64)
+_CLASS = np.array([3 + b - 97 if 97 <= b <= 122 else 3 + b - 65 if 65 <= b <= 90 else 29 + b - 48 if 48 <= b <= 57 else 39 if b < 128 else 40 + b % 24 for b in range(256)], dtype=np.uint8)
 
 
 @dataclass
@@ -80,7 +80,7 @@ def instances(column: pa.Array, keep_texts: bool = False) -> Instances:
     n = len(start)
     if not n:
         none = np.zeros(0, np.int64)
-        return Instances(np.zeros((0, WIDTH + 2), np.int64), none, none, none, len(column), np.zeros(0, np.uint64), [] if keep_texts else None)
+        return Instances(np.zeros((0, WIDTH + 2), np.uint8), none, none, none, len(column), np.zeros(0, np.uint64), [] if keep_texts else None)
     padded = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
     # the identity of a trimmed word: its bytes in three 64-bit pieces
     raw = np.zeros((n, 24), dtype=np.uint8)
@@ -90,7 +90,7 @@ def instances(column: pa.Array, keep_texts: bool = False) -> Instances:
     hashes = textkit.mix(piece[:, 0] * np.uint64(3) + textkit.mix(piece[:, 1] * np.uint64(5) + textkit.mix(piece[:, 2] + np.uint64(7))))
     hashes, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
     sizes = size[first]
-    codes = np.zeros((len(first), WIDTH + 2), dtype=np.int64)
+    codes = np.zeros((len(first), WIDTH + 2), dtype=np.uint8)
     codes[:, 1 : WIDTH + 1] = np.where(np.arange(WIDTH) < sizes[:, None], _CLASS[raw[first, :WIDTH]], 0)
     codes[:, 0] = 1
     codes[np.arange(len(first)), sizes + 1] = 2
@@ -117,7 +117,7 @@ def _spelled(data, start, size, row):
 
 def subsequences(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, weights) of the three-character subsequences of each word, normalised to a unit kernel."""
-    width = int(sizes.max(initial=3))
+    width, codes = int(sizes.max(initial=3)), codes.astype(np.int32)
     out, weight = [], []
     for a, b in _GAPS:
         span = 3 + a + b
@@ -147,7 +147,7 @@ def _by_width(codes, sizes, fn, width=1):
     out = np.zeros((len(sizes), width)) if width > 1 else np.zeros(len(sizes))
     low = 0
     for high in (8, 12, 16, WIDTH + 2):
-        for at in np.array_split(some := np.flatnonzero((sizes > low) & (sizes <= high)), len(some) // 20_000 + 1):
+        for at in np.array_split(some := np.flatnonzero((sizes > low) & (sizes <= high)), len(some) // 4_000 + 1):
             if len(at):
                 out[at] = fn(*subsequences(codes[at], sizes[at]))
         low = high
@@ -180,14 +180,14 @@ class Model:
 
 def _kernel(codes, sizes, marks):
     """Kernel of words with landmarks, through dense rows of the landmarks' subsequences."""
-    rows = np.zeros((1 << 18, len(marks[1])), dtype=np.float32)
     c, v = subsequences(*marks)
-    for j in range(len(c)):
-        np.add.at(rows[:, j], c[j], v[j])
-    used = np.flatnonzero(rows.any(axis=1))
-    place = np.zeros(1 << 18, dtype=np.int64)
+    used = np.unique(c[v > 0])
+    place = np.zeros(1 << 18, dtype=np.int32)
     place[used] = np.arange(1, len(used) + 1)
-    dense = np.concatenate([np.zeros((1, rows.shape[1]), np.float32), rows[used]])
+    dense = np.zeros((len(used) + 1, len(c)), dtype=np.float32)
+    for j in range(len(c)):
+        np.add.at(dense[:, j], place[c[j]], v[j])
+    dense[0] = 0
 
     def part(c, v):
         out = np.zeros((len(c), dense.shape[1]))
@@ -246,6 +246,30 @@ def _disguised(words: list[bytes]) -> Instances:
     return instances(pa.array([x.decode("latin-1") for x in out if x.isascii()], pa.large_string()))
 
 
+def _vocabulary(sentences: dict[str, bool]) -> tuple[Instances, np.ndarray]:
+    """Distinct words of all sentences, a use for each sentence and word, and whether that sentence is toxic."""
+    texts, label = pa.array(list(sentences), pa.large_string()), np.array(list(sentences.values()), dtype=bool)
+    place: dict[int, int] = {}
+    codes, sizes, names, kinds, toxic = [], [], [], [], []
+    for at, n in textkit.blocks(texts):
+        found = instances(texts.slice(at, n), keep_texts=True)
+        if not len(found.kind):
+            continue
+        known = len(place)
+        number = np.array([place.setdefault(h, len(place)) for h in found.hashes.tolist()], dtype=np.int64)
+        new = np.flatnonzero(number >= known)
+        codes.append(found.codes[new])
+        sizes.append(found.sizes[new])
+        names.extend(found.texts[k] for k in new)
+        unit = np.unique(found.row * len(found.sizes) + found.kind)
+        kinds.append(number[unit % len(found.sizes)].astype(np.int32))
+        toxic.append(label[at + unit // len(found.sizes)])
+    if not kinds:
+        none = np.zeros(0, np.int64)
+        return Instances(np.zeros((0, WIDTH + 2), np.uint8), none, none, none, 0, np.zeros(0, np.uint64), []), np.zeros(0, bool)
+    return Instances(np.concatenate(codes), np.concatenate(sizes), np.concatenate(kinds), np.zeros(0, np.int64), len(texts), np.zeros(0, np.uint64), names), np.concatenate(toxic)
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts; without texts of both classes the score is the share of toxic ones."""
     y = np.array(labels, dtype=float)
@@ -258,11 +282,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for text, label in zip(texts, labels, strict=True):
         for s in re.split(r"[.!?\n]+", text):
             sentences[s] = sentences.get(s, True) and bool(label)
-    found = instances(pa.array(list(sentences), pa.large_string()), keep_texts=True)
-    if not len(found.kind):
+    found, toxic = _vocabulary(sentences)
+    kind = found.kind
+    if not len(kind):
         return none
-    unit = np.unique(found.row * len(found.sizes) + found.kind)
-    kind, toxic = unit % len(found.sizes), np.array(list(sentences.values()))[unit // len(found.sizes)]
     g2, odds = _association(kind, toxic, len(found.sizes))
     stems = np.unique(np.array([t[:4] for t in found.texts], dtype="S4"), return_inverse=True)[1]
     stem_g2, stem_odds = _association(stems[kind], toxic, int(stems.max()) + 1)
@@ -310,7 +333,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         hard = clean[np.argsort(-model.decide(found.codes[clean], found.sizes[clean]), kind="stable")][:2000]
         fresh = hard[~np.isin(hard, negative)]
         negative = np.concatenate([negative, fresh])
-    x = np.concatenate([model.features(instances(pa.array(texts[k : k + 200], pa.large_string()))) for k in range(0, len(texts), 200)])
+    x = np.concatenate([model.features(instances(pa.array(texts[k : k + 50], pa.large_string()))) for k in range(0, len(texts), 50)])
     model.line = _logistic(x, y)
     return model
 
