@@ -8,6 +8,7 @@ words, is represented by a 64-bit hash.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,15 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 #: Bytes of text that one vectorised step handles; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can; workers are reused by later stages."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:
