@@ -181,3 +181,19 @@ def test_pipeline(spark, tmp_path):
 
     bpe = ByteLevelBpe.load(public_tokenizers.path("byte_bpe_50k.json"))
     assert all(bpe.decode(bytes(r.ids)) == (kept[r.doc_id] or "") and r.n_tokens == len(r.ids) // 4 for r in out)
+
+
+def test_pipeline_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Rows whose id is null or repeats are dropped and masked by their own text."""
+    import corpus_pipeline
+
+    base, near, item = prose(80, 40), prose(80, 41), prose(30, 42)
+    rows = [(1, base), (1, base), (None, base), (9, base), (2, prose(60, 43)), (2, near), (7, near), (None, prose(20, 44) + " " + item), (3, prose(20, 45) + " " + item), (3, prose(50, 46) + " password=abcdef123 tail"), (3, "password=zyxwvu987 " + prose(50, 47)), (None, prose(50, 48) + " password=ghijkl456 end"), (None, None), (None, "")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        docs = corpus_pipeline.store.settle(docs, name)
+    want = [(1, base), (2, prose(60, 43)), (2, near), (3, prose(50, 46) + " [secret] tail"), (3, "[secret] " + prose(50, 47)), (None, prose(50, 48) + " [secret] end"), (None, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
