@@ -197,3 +197,19 @@ def test_pipeline_rows_without_an_id_of_their_own(spark, tmp_path):
         docs = corpus_pipeline.store.settle(docs, name)
     want = [(1, base), (2, prose(60, 43)), (2, near), (3, prose(50, 46) + " [secret] tail"), (3, "[secret] " + prose(50, 47)), (None, prose(50, 48) + " [secret] end"), (None, None), (None, "")]
     assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 8, 12])
+def test_short_items_amid_text(size):
+    """Copies of short items between other words, exact and with the edits allowed, whatever the draw."""
+    rng = np.random.default_rng(size)
+    items = [rng.integers(1, 2**62, size).astype(np.uint64) for _ in range(40)]
+    for seed in (11, 12, 13, 14):
+        sampler = decontam.Sampler(items, seed=seed)
+        for edits in {0, int(decontam.MAX_EDITS * size)}:
+            hits = 0
+            for k, item in enumerate(items):
+                flat = np.concatenate([rng.integers(1, 2**62, 30).astype(np.uint64), decontam._edited(item, edits, rng), rng.integers(1, 2**62, 30).astype(np.uint64)])
+                ends = np.full(len(flat), len(flat))
+                hits += any(k in decontam.find(flat, ends, draw)[1] for _, draws in sampler.bands for draw in draws)
+            assert hits == len(items) if size < decontam.EXACT_BELOW else hits >= 0.9 * len(items)

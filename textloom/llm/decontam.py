@@ -6,12 +6,15 @@ their outputs differ in few places (edit distance becomes Hamming distance). A r
 of the bit-sampling LSH draws a walk, a place inside each benchmark item and a few steps,
 and looks for document windows whose sampled outputs are all those of an item's window. A
 window's walk needs no end, so one walk serves items of all lengths of a band. The number
-of repetitions is the smallest that reaches the target recall on randomly edited items.
+of repetitions is the smallest that reaches the target recall on randomly edited items
+amid other words. Items of less than EXACT_BELOW words have draws that read consecutive
+words instead, one for each of as many parts that an allowed number of edits leaves one whole.
 Every window found is aligned with its whole item; only exact edit distances decide.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,8 @@ from . import textkit
 MAX_EDITS, RECALL = 0.2, 0.98
 #: Sampled steps of a repetition, most repetitions, and bytes of items that one pass broadcasts.
 SAMPLES, MOST_REPETITIONS, PASS_BYTES = 4, 96, 16 << 20
+#: Items with fewer words are looked for by whole parts; words on both sides of the items that calibrate.
+EXACT_BELOW, AMID = 16, 40
 
 _U = np.uint64
 _END = _U(0x5EED)
@@ -49,6 +54,9 @@ class Sampler:
         band = np.floor(np.log2(np.maximum(sizes, 1))).astype(int)
         for k in sorted(set(band[sizes > 0])):
             members = np.flatnonzero((band == k) & (sizes > 0))
+            if 1 << int(k) < EXACT_BELOW:
+                self.bands.append((1 << int(k), self._exact(members)))
+                continue
             rng = np.random.default_rng(seed + int(k))
             draws = [self._draw(members, 1 << int(k), rng) for _ in range(repetitions or MOST_REPETITIONS)]
             if repetitions is None:
@@ -60,27 +68,38 @@ class Sampler:
             for draw in draws:
                 self.begins |= draw["keys"][0].bits
 
+    def _exact(self, members: np.ndarray) -> list[dict]:
+        """One draw of consecutive words: each item has one part more than it may have edits, so one is whole."""
+        at = [(m, len(self.items[m]) * j // parts, len(self.items[m]) // parts) for m in members for parts in [int(MAX_EDITS * len(self.items[m])) + 1] for j in range(parts)]
+        member, offset, size = np.array(at, dtype=np.int64).T
+        return [self._keys(member, offset, np.arange(min(int(size.min()), SAMPLES)), None)]
+
     def _draw(self, members: np.ndarray, words: int, rng: np.random.Generator) -> dict:
         steps = _steps(words, rng)
         coins = rng.integers(1, 2**63, int(steps[-1]) + 1, dtype=np.int64).view(_U) * _U(2) + _U(1)
         offset = np.array([int(rng.integers(0, len(self.items[m]) - words + 1)) for m in members])
+        return self._keys(members, offset, steps, coins)
+
+    def _keys(self, members: np.ndarray, offset: np.ndarray, steps: np.ndarray, coins: np.ndarray | None) -> dict:
+        """A draw of the members whose walk stays in the item; other words follow there in a document."""
         flat = np.concatenate([self.items[m][o:] for m, o in zip(members, offset, strict=True)])
         ends = np.cumsum([len(self.items[m]) - o for m, o in zip(members, offset, strict=True)])
-        draw = {"steps": steps, "coins": coins, "members": members, "offset": offset, "keys": []}
         starts = np.concatenate([[0], ends[:-1]])
-        at, key, step = starts.copy(), np.zeros(len(members), _U), 0
+        at, key, step, keys = starts.copy(), np.zeros(len(members), _U), 0, []
         for s in steps:
             at, key, step = _advance(flat, ends, at, key, coins, step, int(s))
-            draw["keys"].append(_Lookup(key))
-        return draw
+            keys.append(key)
+        stays = at < ends
+        return {"steps": steps, "coins": coins, "members": members[stays], "offset": offset[stays], "keys": [_Lookup(k[stays]) for k in keys]}
 
     def _enough(self, members: np.ndarray, draws: list[dict], trials: int = 600) -> int:
-        """Repetitions that find the target share of items edited as much as is allowed."""
+        """Repetitions that find the target share of items edited as much as is allowed, amid other words."""
         rng = np.random.default_rng(5)
         texts, owner = [], []
         for t in range(trials):
             m = int(members[t % len(members)])
-            texts.append(_edited(self.items[m], int(MAX_EDITS * len(self.items[m])), rng))
+            amid = [rng.integers(1, 2**62, AMID).astype(_U) for _ in range(2)]
+            texts.append(np.concatenate([amid[0], _edited(self.items[m], int(MAX_EDITS * len(self.items[m])), rng), amid[1]]))
             owner.append(m)
         sizes = np.array([len(x) for x in texts])
         flat, ends = np.concatenate(texts), np.cumsum(sizes)
@@ -91,6 +110,8 @@ class Sampler:
             found[hit[np.array(owner)[hit] == item]] = True
             if found.mean() >= RECALL:
                 return n
+        if len(draws) == MOST_REPETITIONS:
+            warnings.warn(f"{len(draws)} repetitions find {found.mean():.3f} of edited items of {min(len(self.items[m]) for m in members)} words or more, not {RECALL}", stacklevel=2)
         return len(draws)
 
 
@@ -116,13 +137,16 @@ class _Lookup:
 
 
 def _advance(flat, ends, at, key, coins, step, target):
-    """Walk to a sampled step and add the word read there to the key; behind the end stands an end mark."""
+    """Walk to a sampled step and add the word read there to the key; behind the end stands an end mark.
+
+    Without coins every step moves on.
+    """
     last = len(flat) - 1
     while True:
         word = np.where(at < ends, flat[np.minimum(at, last)], _END)
         if step == target:
             return at, textkit.mix(key * _U(0x9E3779B97F4A7C15) + word + _U(step + 1)), step
-        at = at + ((word * coins[step]) >> _U(63)).astype(at.dtype)
+        at = at + (1 if coins is None else ((word * coins[step]) >> _U(63)).astype(at.dtype))
         step += 1
 
 
