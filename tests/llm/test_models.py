@@ -201,3 +201,21 @@ def test_leaves_come_nearest_first():
     tree = ann.Tree(data)
     path = tree.visit(data[5], tree.leaves)
     assert sorted(path) == list(range(tree.leaves)) and path[0] == tree.leaf_of(data[5:6])[0]
+
+
+@pytest.mark.parametrize("copies", [2, 25])
+def test_neighbours_of_repeated_ids(spark, copies):
+    """The rows of an id that repeats do not take the places of other ids."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(60, 8))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    many = [(i, (np.array(p) * (1 + 1e-9 * c)).tolist()) for i, p in rows for c in range(copies)]
+    schema = "vec_id long, embedding array<double>"
+    out = ann.nearest(spark.createDataFrame(many, schema).repartition(3), spark.createDataFrame(rows[:10], schema), 10).collect()
+    hits = 0
+    for q in range(10):
+        far = np.linalg.norm(points - points[q], axis=1)
+        got = [r.vec_id for r in out if r.query_id == q]
+        assert len(set(got)) == 10
+        hits += len(set(got) & {int(i) for i in np.argsort(far) if i != q} & set(np.argsort(far)[:11].tolist()))
+    assert hits >= 90

@@ -156,7 +156,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = vectors.sparkSession
     base = usable(vectors)
     asked = usable(queries).dropDuplicates(["vec_id"])
-    sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS).select("embedding").toArrow().column(0).combine_chunks()
+    # one row of each sampled id: the places of neighbours belong to ids
+    ids = settle(base.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_VECTORS), "fitted")
+    rows = base.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").toArrow().column(0).combine_chunks()
     kind = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -207,18 +210,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, points = data.column("vec_id").to_numpy(), _matrix(data.column("embedding").combine_chunks())
         asked_ = _matrix(right.column("query").combine_chunks())
+        by_id = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(ids[by_id]) != 0))
+        repeats = len(first) < len(ids)
+        names = ids[by_id][first] if repeats else ids
         out = []
         for i in range(len(q)):
             far = distances(asked_[i], points)
-            other = np.flatnonzero(ids != q[i])
-            # all rows up to the k-th distance: equal distances are decided by id
+            # an id is as near as its nearest row
+            near = np.minimum.reduceat(far[by_id], first) if repeats else far
+            other = np.flatnonzero(names != q[i])
+            # all ids up to the k-th distance: equal distances are decided by id
             if len(other) > k:
-                kth = np.partition(far[other], k - 1)[k - 1]
-                other = other[far[other] <= kth]
-            best = other[np.lexsort((ids[other], far[other]))]
-            _, first = np.unique(ids[best], return_index=True)
-            best = best[np.sort(first)][:k]
-            out.append((np.full(len(best), q[i]), ids[best], far[best]))
+                kth = np.partition(near[other], k - 1)[k - 1]
+                other = other[near[other] <= kth]
+            best = other[np.lexsort((names[other], near[other]))][:k]
+            out.append((np.full(len(best), q[i]), names[best], near[best]))
         return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
     keys = ["dim", "leaf", "salt"]
