@@ -152,6 +152,29 @@ def test_licence_families():
     assert {model.classify(t)[0] for t in licences.OTHERS} == {"unknown"}
 
 
+def test_wrapped_notices_and_notices_without_an_anchor(spark):
+    """What classify() confirms on a whole notice is found if it is wrapped, and on lines without an ANCHOR word."""
+    model = licences.classifier()
+    gpl = "This program is free software: you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met."
+    bare = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU GPL as published by the Free Software Foundation."
+    assert not re.search(licences.ANCHOR, bare) and model.classify(bare)[0] == "gpl"
+    rows = [(1, gpl, "gpl"), (2, bsd, "bsd"), (3, bare, "gpl"), (4, prose(8, 1) + "\n\n" + gpl + "\n\n" + prose(8, 2), "gpl"), (5, gpl.replace("\n", "\n\n"), None)]
+    out = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, family in rows:
+        assert {x.family for x in out[i]} - {"unknown"} == ({family} if family else set()), i
+
+
+def test_gate_is_implied():
+    """A paragraph with the least share of a notice's words that is confirmed passes the gate, whichever words these are."""
+    rng = random.Random(2)
+    for text in (t for ts in licences.NOTICES.values() for t in ts):
+        words = sorted(set(licences.words_of(text)))
+        for _ in range(50):
+            some = rng.sample(words, next(n for n in range(len(words) + 1) if n / len(words) >= licences.CONFIRM))
+            assert re.search(licences.gate(), " ".join(some))
+
+
 # the pipeline
 
 

@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only.
 
-A paragraph (line) is classified by multinomial logistic regression on its word 1- to
+A line, or a few wrapped lines joined, is classified by multinomial logistic regression on its word 1- to
 3-grams. The model is trained here from the notices below and from paragraphs that only
 talk about licences, then its probabilities are calibrated with a temperature; a
 paragraph is of a family if the calibrated probability says so and the words of one of
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 #: Probability from which a family is accepted, and the share of a notice's words that must be there.
 ACCEPT, CONFIRM = 0.5, 0.6
-#: A paragraph without any of these cannot be confirmed, for every notice has one (tested).
+#: Most lines over which a notice is wrapped.
+WRAPPED = 6
+#: Lines with any of these are listed even if no family is confirmed.
 ANCHOR = r"(?i)licen[cs]e|copyright|rights reserved|public domain|redistribution"
 
 #: How each licence family is announced.
@@ -57,6 +59,20 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
 
 
+def gate() -> str:
+    """A pattern that every paragraph with CONFIRM of a notice's words matches.
+
+    Of each notice's m words so many are taken (the longest) that fewer than CONFIRM * m are left without them.
+    """
+    some = set()
+    for text in (t for ts in NOTICES.values() for t in ts):
+        words = sorted(set(words_of(text)), key=lambda w: (-len(w), w))
+        some.update(words[: len(words) - math.ceil(CONFIRM * len(words)) + 1])
+    # a pattern inside another one's words is enough for both
+    least = sorted(w for w in some if not any(v != w and v in w for v in some))
+    return "(?i)" + "|".join(re.escape(w) for w in least)
+
+
 class Classifier:
     """Weights by feature, a bias for each class and the calibrated temperature; class 0 is unknown."""
 
@@ -174,23 +190,62 @@ def classify_paragraph(paragraph: Column, model: Classifier) -> Column:
     return F.element_at(step, 1)
 
 
+def confirmable(paragraph: Column) -> Column:
+    """Whether CONFIRM of the words of some notice are there, without the model: no other paragraph gets a family."""
+    sets = [sorted(set(words_of(t))) for ts in NOTICES.values() for t in ts]
+    notices = F.from_json(F.lit(json.dumps(sets)), "array<array<string>>")
+    every = F.from_json(F.lit(json.dumps(sorted(set().union(*map(set, sets))))), "array<string>")
+    least = min(next(n for n in range(len(t) + 1) if n / len(t) >= CONFIRM) for t in sets)
+    step = F.array(F.array_intersect(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), 0), every))
+    return paragraph.rlike(gate()) & F.exists(step, lambda w: (F.size(w) >= least) & F.exists(notices, lambda t: F.size(F.array_intersect(t, w)) / F.size(t) >= CONFIRM))
+
+
 def scan_licences(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with the column `licences`: the classified paragraphs of each text, in order.
 
-    A paragraph is a line. `licences` is an array of (line, family, probability, share) of
-    the lines that could be a notice; family is "unknown" where the calibrated model or
-    the notices do not confirm one. Null, empty and other texts without such a line have
-    an empty array. Rows are independent of each other, so repeated rows, null ids and
-    extra columns pass through; a column named licences is replaced.
+    `licences` is an array of (line, family, probability, share): the lines with an ANCHOR
+    word, other lines of a family, and notices that are wrapped over 2 to WRAPPED lines
+    with no blank line between them (line is then the first one, and lines of a family of
+    their own are not joined). family is "unknown" where the calibrated model or the
+    notices do not confirm one. Null, empty and other texts without such a line have an
+    empty array. Rows are independent of each other, so repeated rows, null ids and extra
+    columns pass through; a column named licences is replaced.
     """
     model = classifier()
     text = F.col(column).cast("string")
-    lines = F.transform(F.split(text, "\n", -1), lambda p, i: F.struct((i + 1).cast("long").alias("line"), p.alias("paragraph")))
-    likely = F.filter(lines, lambda x: x["paragraph"].rlike(ANCHOR))
-    found = F.transform(likely, lambda x: F.struct(x["line"].alias("line"), classify_paragraph(x["paragraph"], model).alias("c")))
-    flat = F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability"), x["c"]["share"].alias("share")))
     kind = "array<struct<line:bigint,family:string,probability:double,share:double>>"
-    return docs.withColumn("licences", F.when(text.rlike(ANCHOR), flat.cast(kind)).otherwise(F.array().cast(kind)))
+    likely = lambda x: x.rlike(ANCHOR) | confirmable(x)
+    known = lambda x: x["c"]["family"] != "unknown"
+    flat = lambda found: F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability"), x["c"]["share"].alias("share"))).cast(kind)
+
+    def classified(rows: Column) -> Column:
+        told = F.transform(rows, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["paragraph"].rlike(ANCHOR).alias("anchored"), classify_paragraph(x["paragraph"], model).alias("c")))
+        return F.filter(told, lambda x: x["anchored"] | known(x))
+
+    def wrapped(lines: Column, own: Column) -> Column:
+        """Notices over several lines, the first and shortest of those that overlap."""
+        closed = F.transform(F.filter(own, known), lambda x: x["line"])
+        rows = F.filter(F.transform(lines, lambda p, i: F.struct((i + 1).cast("long").alias("line"), p.alias("p"))), lambda x: F.trim(x["p"]).rlike(r"\S") & ~F.array_contains(closed, x["line"]))
+        at = lambda x, n: F.struct(x["line"].alias("line"), (x["line"] + (n - 1)).alias("last"), F.array_join(F.slice(lines, x["line"].cast("int"), n), " ").alias("paragraph"))
+
+        def joined(rows: Column) -> Column:
+            # rows n - 1 places on in the list are n - 1 lines on only if no line is left out between them
+            each = lambda x, i, n: F.when(F.get(rows, i + (n - 1))["line"] == x["line"] + (n - 1), at(x, n))
+            sets = F.flatten(F.transform(rows, lambda x, i: F.array(*(each(x, i, n) for n in range(2, WRAPPED + 1)))))
+            return F.filter(sets, lambda x: x.isNotNull() & confirmable(x["paragraph"]))
+
+        found = F.filter(classified(F.flatten(F.transform(F.array(rows), joined))), known)
+        return F.aggregate(found, F.array().cast(held), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= x["line"]), acc).otherwise(F.concat(acc, F.array(x).cast(held))))
+
+    held = "array<struct<line:bigint,last:bigint,anchored:boolean,c:struct<family:string,probability:double,share:double>>>"
+
+    def scanned(lines: Column) -> Column:
+        single = F.filter(F.transform(lines, lambda p, i: F.struct((i + 1).cast("long").alias("line"), (i + 1).cast("long").alias("last"), p.alias("paragraph"))), lambda x: likely(x["paragraph"]))
+        # each step is a transform over one element, so that its result is computed once
+        return F.element_at(F.transform(F.array(classified(single)), lambda own: F.array_sort(F.concat(flat(own), flat(wrapped(lines, own))))), 1)
+
+    found = F.element_at(F.transform(F.array(F.split(text, "\n", -1)), scanned), 1)
+    return docs.withColumn("licences", F.when(likely(text), found).otherwise(F.array().cast(kind)))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
