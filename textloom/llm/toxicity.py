@@ -1,6 +1,8 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
-The kernel of two words counts their common subsequences of three characters, each
+The kernel of two words counts their common subsequences of three characters that leave
+out two characters at most (so a word with two characters between all letters shares
+none of them), each
 occurrence weighted by DECAY to the power of the characters it leaves out, so an insult
 keeps most of its weight when characters are inserted or dropped. Words are mapped to the
 Nystroem features of a set of landmark words and a linear machine with squared hinge loss
@@ -35,6 +37,7 @@ THRESHOLD = 0.3
 #: Characters of a word that one kernel evaluation sees; longer words are windows with half overlap.
 WIDTH = 20
 
+#: Characters left out between the first and second and the second and third one: two in all at most.
 _GAPS = [(a, b) for a in range(3) for b in range(3 - a)]
 #: Byte classes: 0 nothing, 1 begin, 2 end, letters, digits, other ASCII, bytes of other characters.
 _CLASS = np.array([3 + b - 97 if 97 <= b <= 122 else 3 + b - 65 if 65 <= b <= 90 else 29 + b - 48 if 48 <= b <= 57 else 39 if b < 128 else 40 + b % 24 for b in range(256)], dtype=np.uint8)
