@@ -39,7 +39,6 @@ CASES = [
     ("source_colours", 'if x1 "s" // c', '<k>if</k> x<n>1</n> <s>"s"</s> <c>// c</c>'),
     ("string_literals", 'f("a", "b")', "a\nb\n"),
     ("form_target", '<form action="/x">', '<form action="/proxy?to=/x">'),
-    ("note_and_copy", "a<!--note:x_y_-->", "a<!--note:__--><p>x<u>y</u></p>"),
     ("motif_names", "xxagggtaaaycgggtaaa", "A B "),
     ("words_translated", "the red house here", "la rossa casa here"),
 ]

@@ -45,6 +45,36 @@ def test_native_plan_has_no_python(spark):
         compile_program("main := /a/<1>").column("s", "native")
 
 
+MANY = 250_000
+LONG = [
+    ("main := /(ab| |c)*/", "ab c" * MANY, "ab c" * MANY),
+    ('main := ("<" /(ab|c)+/ ">" | /./)*', "abcx" * MANY, "<abc>x" * MANY),
+    ("main := ~/[^,]*/ /(,[^,]*,[^,]*)*/", "a" + ",b,a" * MANY, ",b,a" * MANY),
+    ("main := ((/[^\\n]*[.]/ | ~/[^\\n]*/) /\\n/)*", ("a.\n" + "b\n" * 2) * MANY, ("a.\n" + "\n" * 2) * MANY),
+    ("main := a@/[^\\n]*\\n/ b@/[^\\n]*\\n/ !b !a /.*/", "é" * MANY + "\n" + "😀a" * MANY + "\nrest" * MANY, "😀a" * MANY + "\n" + "é" * MANY + "\n" + ("\nrest" * MANY)[1:]),
+    ('main := (~/a/ [as += "a"] | ~/[0-9]+/ [ns += "#"] | ~/./)* !ns !as', "a12é" * MANY, "#" * MANY + "a" * MANY),
+    ("main := /[a-z ]{3,}/", "ab " * MANY, "ab " * MANY),
+]
+
+
+@pytest.mark.parametrize("program,text,expected", LONG)
+def test_native_forms_on_long_texts(spark, program, text, expected):
+    p = compile_program(program)
+    df = spark.createDataFrame([(text,), (text[:3001],)], "s string").coalesce(1)
+    long, short = df.select(p.column("s", "native"), p.accepts("s")).collect()
+    assert long[0] == expected and long[1]
+    assert short[0] == p.run(text[:3001]).value
+
+
+@pytest.mark.parametrize("program", ["main := /[a-z]*[a-z]*[a-z]*[a-z]*x/", "main := /(a|ab)*c/", "main := /(a*b?)+x/", "main := /.*,[a,]*!/", "main := /(ab|c)*?x/ | /(aa){,300}/"])
+def test_patterns_that_search_too_long_are_not_native(spark, program):
+    p = compile_program(program)
+    assert p.forms[0][0] == "kernel"
+    text = "abc,a" * 400
+    df = spark.createDataFrame([(text,), ("abx",), ("ab,!",)], "s string").coalesce(1)
+    assert [tuple(r) for r in df.select(p.column("s"), p.accepts("s")).collect()] == [(o.value, o.ok) for o in map(p.run, (text, "abx", "ab,!"))]
+
+
 def test_results_and_records(spark):
     df = spark.createDataFrame([("ab",), ("ax",), ("a",), (None,)], "s string")
     p = compile_program('main := /a/ ~/b/ "!"')

@@ -263,12 +263,17 @@ _chunked("chunked_quote_words", 'main := ("\\"" /[a-zA-Z]+/ "\\"" | /./)*', r"""
 _chunked("chunked_keep_lines", 'main := (/[^\\n]*[.]/ | ~/[^\\n]*/) (/\\n/ (/[^\\n]*[.]/ | ~/[^\\n]*/))*', "array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN ends_with(l, '.') THEN l ELSE '' END), chr(10))")
 
 
+def stream_folder(spark: SparkSession) -> str:
+    """A fresh folder for a stream's input, state and output, in the shared folder where the session names one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{where}/stream-{os.urandom(8).hex()}" if where else tempfile.mkdtemp(prefix="textloom-stream-")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, program: str, rows: DataFrame) -> DataFrame:
     """Rows (doc_id, seq, chunk, last) through a file stream, a program and a Parquet sink, in one run over what is there."""
     from textloom.sources.text import stream_table
 
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    where = f"{where}/stream-{os.urandom(8).hex()}" if where else tempfile.mkdtemp(prefix="textloom-stream-")
+    where = stream_folder(spark)
     rows.write.parquet(f"{where}/in")
     out = run_stream(compile_program(program), stream_table(spark, f"{where}/in", rows.schema))
     query_ = out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()

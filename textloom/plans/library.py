@@ -47,7 +47,6 @@ PROGRAMS: dict[str, str] = {
     "source_colours": 'main := ("<k>" /(if|else|while|return)/ "</k>" | "<s>" /"[^"\\n]*"/ "</s>" | "<c>" /\\/\\/[^\\n]*/ "</c>" | "<n>" /[0-9]+/ "</n>" | /[A-Za-z_]+/ | /./)*',
     "string_literals": 'main := (~/"/ /[^"\\\\\\n]*/ ~/"/ "\\n" | ~/./)*',
     "form_target": 'main := (/<form action="/ url@/[^"]*/ "/proxy?to=" !url /"/ | /./)*',
-    "note_and_copy": 'main := (/<!--note:/ [kept <- ""] [shown <- ""] piece* !kept /-->/ "<p>" !shown "</p>" | /./)*\npiece := ~/_/ word@/[^_]*/ ~/_/ [kept += "_"] [shown += "<u>" word "</u>"] [kept += "_"] | c@/./ [shown += c]',
     # motifs
     "motif_names": 'main := (~/agggtaaa|tttaccct/ "A " | ~/[cgt]gggtaaa|tttaccc[acg]/ "B " | ~/./)*',
     "words_translated": 'main := (word | /./)*\nword := ~/the/ "la" | ~/house/ "casa" | ~/red/ "rossa" | /[a-z]+/',

@@ -9,8 +9,8 @@ lowered here are those in which the two agree:
 * tokens: a loop whose last alternative takes any symbol, so that every local choice can
   be completed. If it only maps symbols to symbols it becomes `translate`.
 
-Patterns on which the JVM's backtracking search could explode, or whose empty loops it
-treats differently, are not lowered.
+Patterns on which the JVM's backtracking search could explode or overflow its stack, or
+whose empty loops it treats differently, are not lowered (see `guard`).
 """
 
 from __future__ import annotations
@@ -130,30 +130,102 @@ def symbols(term: Term) -> CharSet:
     return symbols(term.body) if isinstance(term, (Repeat, Drop, Into)) else CharSet(())
 
 
-def java(term: Term, loops: int = 0) -> str:
-    """A pure term as a Java regex."""
+def java(term: Term) -> str:
+    """A pure term that `guard` lets pass as a Java regex."""
     if isinstance(term, Empty):
         return ""
     if isinstance(term, Sym):
         return term.chars.java()
     if isinstance(term, Seq):
-        return "".join(java(i, loops) for i in term.items)
+        return "".join(java(i) for i in term.items)
     if isinstance(term, Alt):
-        return "(?:" + "|".join(java(i, loops) for i in term.items) + ")"
-    loop = term.high is None
-    if loop and nullable(term.body):
+        return "(?:" + "|".join(java(i) for i in term.items) + ")"
+    body = java(term.body)
+    single = isinstance(term.body, Sym)
+    lazy = "?" if term.lazy else ""
+    if term.high is not None:
+        count = "?" if (term.low, term.high) == (0, 1) else f"{{{term.low},{term.high}}}"
+        return (body if single else f"(?:{body})") + count + lazy
+    if single and term.low > 1:
+        # a loop over one class runs without recursion only as * or +
+        return f"{body}{{{term.low}}}{body}*{lazy}"
+    count = "*" if term.low == 0 else "+" if term.low == 1 else f"{{{term.low},}}"
+    # other loops recurse unless they keep what they have taken
+    return body + count + lazy if single else f"(?:{body}){count}+"
+
+
+#: Most rounds of a counted loop over more than one symbol: the JVM's search recurses in each.
+COUNTED = 200
+
+
+def guard(term: Term) -> None:
+    """Refuse what the JVM's search cannot do on long texts.
+
+    A loop over more than one symbol recurses for each round, unless it never has to go
+    back; loops that share symbols with what follows are tried at every length, so there
+    is one of them at most, with no other loop after it.
+    """
+    flags = _loops(term, CharSet(()), False)[0]
+    if True in flags and flags.index(True) < len(flags) - 1:
+        raise NotNative("loops that can take symbols from each other")
+
+
+def _loops(term: Term, follow: CharSet, sure: bool) -> tuple[list[bool], bool]:
+    """For each unbounded loop over one class, in order, whether it may have to give symbols back; and whether the term
+    and what follows take any input. follow: symbols that can come next; sure: what follows takes any input."""
+    if isinstance(term, (Drop, Into)):
+        return _loops(term.body, follow, sure)
+    if isinstance(term, Seq):
+        flags: list[bool] = []
+        for item in reversed(term.items):
+            more, sure = _loops(item, follow, sure)
+            flags = more + flags
+            follow = _first(item) | follow if nullable(item) else _first(item)
+        return flags, sure
+    if isinstance(term, Alt):
+        return [f for i in term.items for f in _loops(i, follow, sure)[0]], sure and any(nullable(i) for i in term.items)
+    if not isinstance(term, Repeat):
+        return [], sure and nullable(term)
+    if term.high is not None:
+        if term.high > (1000 if isinstance(term.body, Sym) else COUNTED):
+            raise NotNative("a long counted loop")
+        if isinstance(term.body, Sym):
+            return [], sure and term.low == 0
+        again = _first(term.body) | follow if term.high > 1 else follow
+        return _loops(term.body, again, False if term.high > 1 else sure)[0] * min(term.high, 2), sure and nullable(term)
+    if isinstance(term.body, Sym):
+        if term.body.chars == ANY and not follow:
+            return [], term.low == 0
+        return [bool(term.body.chars & follow) and not sure], sure and term.low == 0
+    if nullable(term.body):
         raise NotNative("a loop whose body can be empty")
-    if loop and loops and not _separated(term.body):
-        raise NotNative("a loop inside a loop")
-    if not loop and term.high > 1000:
-        raise NotNative("a long counted loop")
-    count = "*" if loop and term.low == 0 else "+" if loop and term.low == 1 else "?" if (term.low, term.high) == (0, 1) else f"{{{term.low},{'' if loop else term.high}}}"
-    body = java(term.body, loops + loop)
-    return (body if isinstance(term.body, Sym) else f"(?:{body})") + count + ("?" if term.lazy else "")
+    if not _decided(term, follow):
+        raise NotNative("a loop that may have to go back")
+    return [], sure and term.low == 0
 
 
-def _separated(term: Term) -> bool:
-    return isinstance(term, Sym)
+def _decided(term: Term, follow: CharSet) -> bool:
+    """Whether the next symbol always says how to go on, so that no choice is ever taken back."""
+    if isinstance(term, (Drop, Into)):
+        return _decided(term.body, follow)
+    if isinstance(term, Seq):
+        for item in reversed(term.items):
+            if not _decided(item, follow):
+                return False
+            follow = _first(item) | follow if nullable(item) else _first(item)
+        return True
+    if isinstance(term, Alt):
+        seen = CharSet(())
+        for item in term.items:
+            if nullable(item) or seen & _first(item) or not _decided(item, follow):
+                return False
+            seen = seen | _first(item)
+        return True
+    if isinstance(term, Repeat):
+        if term.low == term.high:
+            return not nullable(term.body) and _decided(term.body, _first(term.body) | follow)
+        return not term.lazy and not nullable(term.body) and not _first(term.body) & follow and _decided(term.body, _first(term.body) | follow)
+    return True
 
 
 @dataclass
@@ -170,6 +242,7 @@ class Template:
 
 def template(term: Term, copying: bool = False) -> Template:
     """A straight-line term as a template; registers are followed symbolically."""
+    guard(term)
     regex: list[str] = []
     groups = 0
     registers: dict[str, list] = {}
@@ -425,6 +498,7 @@ def fields(source: Source, rule: str) -> tuple[str, list[str]]:
             regex += f"(?:{java(flat)})"
     if not names:
         raise NotNative("a record calls a rule for each field")
+    guard(_reads(inline(Call(rule), source.rules)))
     return _whole(regex), names
 
 
@@ -443,7 +517,9 @@ def _reads(term: Term) -> Term:
 
 def acceptance(source: Source, rule: str) -> str:
     """A regex for the inputs that a stage accepts."""
-    return _whole(java(_reads(inline(Call(rule), source.rules))))
+    term = _reads(inline(Call(rule), source.rules))
+    guard(term)
+    return _whole(java(term))
 
 
 def literal(term: Term) -> str | None:
