@@ -219,3 +219,31 @@ def test_neighbours_of_repeated_ids(spark, copies):
         assert len(set(got)) == 10
         hits += len(set(got) & {int(i) for i in np.argsort(far) if i != q} & set(np.argsort(far)[:11].tolist()))
     assert hits >= 90
+
+
+def test_more_leaves_where_too_few_are_found(spark):
+    """Queries get k rows whenever there are k candidates, also of a length that few vectors have."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (1000.0 * (i % 40) if i < 400 else 0.0) + rng.normal(size=4)]) for i in range(400)]
+    rows += [(i, [float(x) for x in rng.normal(size=7)]) for i in range(400, 415)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for k in (10, 14, 200):
+        out = defaultdict(list)
+        for r in ann.nearest(df, df.filter("vec_id % 5 = 0"), k).collect():
+            out[r.query_id].append(r.rank)
+        for q in range(0, 415, 5):
+            assert sorted(out[q]) == list(range(1, min(k, 14 if q >= 400 else 399) + 1))
+
+
+def test_search_in_a_part():
+    """The block search gives what plain distances give, ties and huge components included."""
+    rng = np.random.default_rng(9)
+    for scale in (1.0, 1e-3, 1e160):
+        points = rng.integers(-3, 4, size=(300, 3)).astype(float) * scale
+        part = ann.Part(np.arange(300), points, rng.integers(0, 6, 300))
+        visits = [np.array([0, 2, 5]), np.arange(6)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = list(part.search(np.array([7, 900]), points[[7, 8]], visits, 12))
+            for (ids, far), q, own, leaves in zip(found, points[[7, 8]], (7, 900), visits, strict=True):
+                rows = [(ann.distances(q, part.points[j : j + 1])[0], part.ids[j]) for j in range(300) if part.leaf[j] in leaves and part.ids[j] != own]
+                assert list(zip(far.tolist(), ids.tolist(), strict=True)) == sorted(rows)[:12]
