@@ -36,6 +36,25 @@ def test_native_equals_kernel(spark, program):
         assert good == ok and (good is None or good == (kernel is not None))
 
 
+@pytest.mark.parametrize("few", [0, 2, 12])
+def test_batches_equal_single_texts(few, monkeypatch):
+    """The machine over many texts gives what it gives for each, whatever their lengths."""
+    import random
+
+    from textloom.operators import batch
+
+    monkeypatch.setattr(batch, "FEW", few)
+    monkeypatch.setattr(batch, "BLOCK", 300)
+    rng = random.Random(few)
+    texts = [None if k % 17 == 0 else "".join(rng.choice("aaab eE1\nZé😀") for _ in range(rng.choice([0, 1, 5, 40, 90]))) for k in range(60)]
+    texts += ["a" * k for k in range(23)] + ["hello", "helo", "ab cd\n", "ab cd\nx e\n"]
+    more = ['main := "x" (~/a{7}/ "0" | ~/a{3}/ "1")*', "main := /hello/<3>", 'main := "s" (/a*/ | "e" /[^q]*/)', "start: p >> q\np := (~/a/ | /./)*\nq := /[^Z]*/"]
+    for program in [*PROGRAMS, *more]:
+        for options in ({}, {"metric": "levenshtein", "mode": "explicit"}, {"copying": True}):
+            stages = compile_program(program, **options).stages()
+            assert stages.run_all(texts) == [stages.run(t) for t in texts]
+
+
 def test_native_plan_has_no_python(spark):
     df = spark.range(3).select(F.col("id").cast("string").alias("s"))
     plan = lambda c: df.select(c)._jdf.queryExecution().executedPlan().toString()

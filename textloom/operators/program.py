@@ -15,6 +15,7 @@ from textloom.plans.lower import NotNative, acceptance, fields, inline, literal,
 from textloom.plans.parser import parse_program, parse_regex
 from textloom.plans.syntax import Near, Source
 
+from .batch import Batch
 from .machine import Machine, Outcome
 
 ENGINES = ("auto", "native", "kernel", "backtrack")
@@ -34,6 +35,20 @@ class Stages:
         source, metric, mode, binary, copying, codes = self.options
         return [Machine(Graph(source, rule, metric, mode, binary, codes), copying) for rule in source.pipeline]
 
+    @functools.cached_property
+    def batches(self) -> list[Batch]:
+        return [Batch(m) for m in self.machines]
+
+    def run_all(self, texts, engine: str = "kernel", first: int = 0, last: int | None = None) -> list[Outcome]:
+        """The outcome of each text; that of None is a rejection without a place."""
+        if engine != "kernel":
+            return [self.run(t, engine, first, last) for t in texts]
+        out = [Outcome(t is not None, t, None) for t in texts]
+        for batch in self.batches[first:last]:
+            done = batch.run([o.value if o.ok else None for o in out])
+            out = [o if d is None else d for o, d in zip(out, done, strict=True)]
+        return out
+
     def run(self, text: str | None, engine: str = "kernel", first: int = 0, last: int | None = None) -> Outcome:
         if text is None:
             return Outcome(False, None, None)
@@ -95,14 +110,14 @@ class Program:
 
             @F.pandas_udf("binary")
             def run(values: pd.Series) -> pd.Series:
-                done = (stages.run(None if v is None else bytes(v).decode("latin-1"), engine, first, last).value for v in values)
-                return pd.Series([None if v is None else v.encode("latin-1") for v in done], dtype=object)
+                done = stages.run_all([None if v is None else bytes(v).decode("latin-1") for v in values], engine, first, last)
+                return pd.Series([None if o.value is None else o.value.encode("latin-1") for o in done], dtype=object)
 
             return run
 
         @F.pandas_udf("string")
         def run_text(values: pd.Series) -> pd.Series:
-            return pd.Series([stages.run(v, engine, first, last).value for v in values], dtype=object)
+            return pd.Series([o.value for o in stages.run_all(values, engine, first, last)], dtype=object)
 
         return run_text
 
@@ -113,7 +128,7 @@ class Program:
 
         @F.pandas_udf(kind)
         def run(values: pd.Series) -> pd.DataFrame:
-            done = [stages.run(v) for v in values]
+            done = stages.run_all(values)
             frame = pd.DataFrame({"ok": [o.ok for o in done], "value": pd.Series([o.value for o in done], dtype=object)})
             frame["error_pos"] = pd.array([o.error_pos for o in done], dtype="Int64")
             return frame
@@ -173,7 +188,7 @@ class Program:
 
         @F.pandas_udf("string")
         def run(values: pd.Series) -> pd.Series:
-            return pd.Series([stages.run(v).value for v in values], dtype=object)
+            return pd.Series([o.value for o in stages.run_all(values)], dtype=object)
 
         spark.udf.register(name, run)
 

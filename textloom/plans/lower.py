@@ -406,10 +406,23 @@ def _collected(term: Term, copying: bool) -> Callable[[Column], Column]:
             out.append(Seq(tuple(p for p in parts if not isinstance(p, Empty))))
         return Repeat(Alt((*out, rest if name is None else Drop(Sym(ANY)))), loop.low, loop.high, loop.lazy)
 
+    def counted(name: str) -> Callable[[Column], Column] | None:
+        """What the loop appends to a register if each token is one symbol, by counting the symbols of the only token that does."""
+        reads = [[p for p in (i.items if isinstance(i, Seq) else (i,)) if not isinstance(p, (Assign, Text))] for i in items]
+        classes = [symbols(r[0]) for r in reads if len(r) == 1 and (isinstance(r[0], Sym) or isinstance(r[0], Drop) and isinstance(r[0].body, Sym))]
+        if len(classes) < len(items) or any(a & b for k, a in enumerate(classes) for b in classes[:k]):
+            return None
+        appends = [[p for p in (i.items if isinstance(i, Seq) else (i,)) if isinstance(p, Assign) and p.register == name] for i in items]
+        users = [k for k, a in enumerate(appends) if a]
+        if len(users) != 1:
+            return None
+        text = "".join(t.value for a in appends[users[0]] for t in a.items[1:])
+        return lambda value: F.repeat(F.lit(text), F.regexp_count(value, F.lit(classes[users[0]].java())))
+
     silent = rest == Drop(Sym(ANY)) and not any(isinstance(p, Text) or pure(p) for i in items for p in (i.items if isinstance(i, Seq) else (i,)))
     made = [] if silent else [_tokens(output(None), copying)]
     _tokens(output(names[0]) if names else loop, copying)  # the loop itself is checked even if nothing is written
-    made += [(lambda value, t=t: F.lit(t.value)) if isinstance(t, Text) else _tokens(output(t.register), copying) for t in tail]
+    made += [(lambda value, t=t: F.lit(t.value)) if isinstance(t, Text) else counted(t.register) or _tokens(output(t.register), copying) for t in tail]
     return lambda value: F.when(value.isNotNull(), F.concat(*[form(value) for form in made]))
 
 

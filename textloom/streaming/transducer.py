@@ -29,7 +29,8 @@ class Document:
         self.next, self.early, self.over, self.out = saved["next"], {int(k): tuple(v) for k, v in saved["early"].items()}, saved["over"], saved["out"]
 
     def save(self) -> dict:
-        return {"stages": [s.save() for s in self.stages], "next": self.next, "early": self.early, "over": self.over, "out": self.out}
+        # of a finished document only that it is over is kept
+        return {"stages": [None if self.over else s.save() for s in self.stages], "next": self.next, "early": self.early, "over": self.over, "out": self.out}
 
     def feed(self, seq: int, chunk: str, last: bool) -> list[tuple[str, str]]:
         """(output, status) rows: status is running, then done or rejected once; a repeated chunk is ignored."""
@@ -71,6 +72,7 @@ def run_stream(program: Program, chunks: DataFrame, key: str = "doc_id", seq: st
     chunks: key, seq (from 0, without gaps, in any order of arrival), chunk and last
     (whether the document ends with it). The outputs of a document in the order of
     out_seq make up its output; a rejected one may have written before its last row says so.
+    Of a finished document a few bytes of state stay, by which chunks that come again are known.
     """
     stages = program.stages()
     kind = chunks.schema[key].dataType.simpleString()
