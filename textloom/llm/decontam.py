@@ -26,8 +26,8 @@ from . import textkit
 
 #: Edits allowed as a share of an item's words, and the recall that the repetitions must reach.
 MAX_EDITS, RECALL = 0.2, 0.98
-#: Sampled steps of a repetition, most repetitions, and bytes of items that one pass broadcasts.
-SAMPLES, MOST_REPETITIONS, PASS_BYTES = 4, 96, 16 << 20
+#: Sampled steps of a repetition, most repetitions, and bytes of items that one pass broadcasts (with their keys, some ten times that).
+SAMPLES, MOST_REPETITIONS, PASS_BYTES = 4, 256, 4 << 20
 #: Items with fewer words are looked for by whole parts; words on both sides of the items that calibrate.
 EXACT_BELOW, AMID = 16, 40
 
@@ -36,12 +36,9 @@ _END = _U(0x5EED)
 
 
 def _steps(words: int, rng: np.random.Generator) -> np.ndarray:
-    """The sampled steps of a band: the first ones close together, the last anywhere in the window."""
-    last = max(2 * words, 3)
-    near = [0, int(rng.integers(1, 3))]
-    near.append(near[-1] + int(rng.integers(1, 5)))
-    near.append(near[-1] + int(rng.integers(1, max(2, min(last, 24) - near[-1]))))
-    return np.array([s for s in near[:SAMPLES] if s < last], dtype=np.int64)
+    """The sampled steps of a band: the first one, which reads the window's first word, and others anywhere in the walk of an item-sized window."""
+    rest = np.arange(1, max(2 * words, SAMPLES))
+    return np.concatenate([[0], np.sort(rng.choice(rest, SAMPLES - 1, replace=False))])
 
 
 class Sampler:
@@ -63,10 +60,7 @@ class Sampler:
                 draws = draws[: self._enough(members, draws)]
             self.bands.append((1 << int(k), draws))
         # openings that some repetition can go on from
-        self.begins = np.zeros(1 << 18, dtype=bool)
-        for _, draws in self.bands:
-            for draw in draws:
-                self.begins |= draw["keys"][0].bits
+        self.begins = _Bits(np.concatenate([np.zeros(0, _U), *(draw.pop("first") for _, draws in self.bands for draw in draws)]))
 
     def _exact(self, members: np.ndarray) -> list[dict]:
         """One draw of consecutive words: each item has one part more than it may have edits, so one is whole."""
@@ -90,7 +84,7 @@ class Sampler:
             at, key, step = _advance(flat, ends, at, key, coins, step, int(s))
             keys.append(key)
         stays = at < ends
-        return {"steps": steps, "coins": coins, "members": members[stays], "offset": offset[stays], "keys": [_Lookup(k[stays]) for k in keys]}
+        return {"steps": steps, "coins": coins, "members": members[stays], "offset": offset[stays], "first": keys[0][stays], "maybe": [_Bits(k[stays]) for k in keys], "keys": _Lookup(keys[-1][stays])}
 
     def _enough(self, members: np.ndarray, draws: list[dict], trials: int = 600) -> int:
         """Repetitions that find the target share of items edited as much as is allowed, amid other words."""
@@ -115,17 +109,27 @@ class Sampler:
         return len(draws)
 
 
+class _Bits:
+    """Which keys may be among some: at least 32 bits for each of them."""
+
+    def __init__(self, keys: np.ndarray):
+        size = max(14, int(32 * len(np.unique(keys))).bit_length())
+        self.shift = _U(64 - size)
+        held = np.zeros(1 << size, dtype=np.uint8)
+        held[(keys >> self.shift).astype(np.int64)] = 1
+        self.bits = np.packbits(held, bitorder="little")
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> self.shift).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 class _Lookup:
-    """Sorted keys with a bitmap in front."""
+    """Sorted keys."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
+        self.order = np.argsort(keys, kind="stable").astype(np.int32)
         self.keys = keys[self.order]
-        self.bits = np.zeros(1 << 18, dtype=bool)
-        self.bits[(keys >> _U(46)).astype(np.int64)] = True
-
-    def maybe(self, keys: np.ndarray) -> np.ndarray:
-        return self.bits[(keys >> _U(46)).astype(np.int64)]
 
     def matches(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into keys, index of an equal member), all pairs."""
@@ -163,16 +167,16 @@ def find(flat: np.ndarray, ends: np.ndarray, draw: dict, start: np.ndarray | Non
     """
     if start is None:
         start, key = np.arange(len(flat)), openings(flat)
-    keep = draw["keys"][0].maybe(key)
+    keep = draw["maybe"][0].has(key)
     start, key = start[keep], key[keep]
     at, ends, step = start, ends[start], 0
-    for s, lookup in zip(draw["steps"][1:], draw["keys"][1:], strict=True):
+    for s, some in zip(draw["steps"][1:], draw["maybe"][1:], strict=True):
         at, key, step = _advance(flat, ends, at, key, draw["coins"], step, int(s))
-        keep = lookup.maybe(key)
+        keep = some.has(key)
         start, at, key, ends = start[keep], at[keep], key[keep], ends[keep]
         if not len(start):
             return start, start, start
-    which, member = draw["keys"][-1].matches(key)
+    which, member = draw["keys"].matches(key)
     return start[which], draw["members"][member], draw["offset"][member]
 
 
@@ -220,7 +224,7 @@ def _matches(words: textkit.Words, sampler: Sampler) -> Iterator[tuple[int, int,
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     bags: dict[int, set[int]] = {}
     key = openings(flat)
-    windows = np.flatnonzero(sampler.begins[(key >> _U(46)).astype(np.int64)])
+    windows = np.flatnonzero(sampler.begins.has(key))
     key = key[windows]
     for _, draws in sampler.bands:
         for draw in draws:
@@ -255,7 +259,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and item that it holds: doc_id, item_id, item_words, edits and the code points
     [start, end) of the best window, the first one of equals. Texts that are null, empty
     or free of words match nothing, nor do such items; repeated rows give repeated
-    results; a row with a null doc_id is reported with that; empty tables give none.
+    results; a row with a null doc_id, or an item with a null item_id, is reported with that;
+    empty tables give none.
     Items are read in passes of PASS_BYTES, each of which scans docs once.
     """
     spark = docs.sparkSession
@@ -266,13 +271,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(passes):
         part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        rows = sorted({(r.item_id if r.item_id is not None else -1, r.text) for r in part.collect()})
+        rows = sorted({(r.item_id, r.text) for r in part.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         found = _one_pass(spark, docs, rows)
         out = found if out is None else out.union(found)
     return out
 
 
-def _one_pass(spark, docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+def _one_pass(spark, docs: DataFrame, rows: list[tuple[int | None, str]]) -> DataFrame:
     words = textkit.scan(pa.array([t for _, t in rows], pa.large_string()), textkit.PUNCTUATION)
     items = [words.hash[words.first[k] : words.first[k + 1]] for k in range(len(rows))]
     shared = spark.sparkContext.broadcast((Sampler(items), [i for i, _ in rows]))

@@ -1,13 +1,16 @@
 """Licence scans with DataFrame functions only.
 
-A line, or a few wrapped lines joined, is classified by multinomial logistic regression on its word 1- to
-3-grams. The model is trained here from the notices below and from paragraphs that only
-talk about licences, then its probabilities are calibrated with a temperature; a
-paragraph is of a family if the calibrated probability says so and the words of one of
-the family's notices confirm it. Everything else is unknown.
+A paragraph is a line, a few wrapped lines joined, or all lines up to a blank one. It is
+classified by multinomial logistic regression on its word 1- to 3-grams. The model is
+trained here from the notices and licence bodies below and from paragraphs that only talk
+about licences; the temperature that calibrates its probabilities comes from folds of
+notices that were not fitted. A paragraph is of a family if the calibrated probability
+says so and the words of one of the family's notices confirm it. Everything else is
+unknown.
 
 Scoring stays in one projection: no join, no exchange, no Python on executors. Weights and
-notices travel as constants of the plan.
+notices travel as constants of the plan. Which paragraphs are classified follows from what
+a notice needs to be confirmed, so nothing else could get a family.
 """
 
 from __future__ import annotations
@@ -17,35 +20,184 @@ import math
 import random
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Probability from which a family is accepted, and the share of a notice's words that must be there.
 ACCEPT, CONFIRM = 0.5, 0.6
-#: Most lines over which a notice is wrapped.
+#: Lines of a wrapped notice that stands amid other lines; up to a blank line it may have any number.
 WRAPPED = 6
+#: Features that the model keeps, those of the largest weights.
+FEATURES = 3000
 #: Lines with any of these are listed even if no family is confirmed.
 ANCHOR = r"(?i)licen[cs]e|copyright|rights reserved|public domain|redistribution"
 
-#: How each licence family is announced.
+#: How each licence family is announced, and paragraphs of its public text.
 NOTICES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "This software is distributed under the terms of the MIT license.", "Licensed under the MIT license.", "SPDX-License-Identifier: MIT"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "Licensed under the GPL version 2 or later.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the LGPL version 3 license.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "agpl": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL version 3 license.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the MPL 2.0 license.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Content available under the CC BY-NC-SA 4.0 license."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the CC BY-SA 4.0 license."],
-    "public-domain": ["This work has been released into the public domain.", "This is free and unencumbered software released into the public domain.", "To the extent possible under law, all copyright has been waived under CC0 1.0; the work is in the public domain."],
-    "proprietary": ["All rights reserved.", "Copyright the authors. All rights reserved.", "Confidential and proprietary. All rights reserved. No part of this publication may be reproduced without written permission."],
+    "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "This project is released under the Apache 2.0 license.",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "mit": [
+        "Released under the MIT License.",
+        "This software is distributed under the terms of the MIT license.",
+        "Licensed under the MIT license.",
+        "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",
+        "The MIT License (MIT)",
+    ],
+    "gpl": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "Licensed under the GPL version 2 or later.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see http://www.gnu.org/licenses/",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the LGPL version 3 license.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the AGPL version 3 license.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Released under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES.",
+        "Licensed under the BSD 2-Clause License.",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "Licensed under the MPL 2.0 license.",
+        "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+    ],
+    "cc-by-nc": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Content available under the CC BY-NC-SA 4.0 license.",
+        "Attribution-NonCommercial-ShareAlike 4.0 International (CC BY-NC-SA 4.0)",
+    ],
+    "cc-by": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "Text is available under the CC BY-SA 4.0 license.",
+        "Creative Commons Attribution-ShareAlike 4.0 International Public License",
+    ],
+    "public-domain": [
+        "This work has been released into the public domain.",
+        "This is free and unencumbered software released into the public domain.",
+        "To the extent possible under law, all copyright has been waived under CC0 1.0; the work is in the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law.",
+        "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "proprietary": [
+        "All rights reserved.",
+        "Copyright the authors. All rights reserved.",
+        "Confidential and proprietary. All rights reserved. No part of this publication may be reproduced without written permission.",
+        "This document contains confidential and proprietary information and may not be copied or disclosed without prior written consent.",
+        "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "Released under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution.",
+        "Eclipse Public License - v 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
 }
 #: Paragraphs that mention the subject without being a notice.
 OTHERS = [
-    "He renewed his driving licence last week.", "The restaurant applied for a liquor license in the spring.", "Copyright law protects authors for many years.", "The city issued a building license to the owner of the house.", "A lecture on public domain music was held at the library.", "You need a license plate and a registration to drive this car.", "The court heard a case about copyright and parody.", "Redistribution of income was the topic of the debate.",
-    "The licence fee pays for radio and television.", "She lost her fishing license on the way to the lake.", "The minister defended the redistribution of land.", "They argued about the license for hours.", "Poetic license lets a writer bend the rules.", "Students asked which license to choose for their project.", "An open letter about software and copyright was published.", "The museum placed some pictures in the collection.",
-    "The weather in the north was cold and the roads were closed.", "Please read the manual before you start the machine.", "The new version of the program is faster than the last one.", "A general question about public transport in the city.", "Work on the bridge is expected to last until the summer.", "The terms of the agreement were not made public.", "Free software was the subject of the talk.", "The committee met in the old town hall.",
+    "He renewed his driving licence last week.",
+    "The restaurant applied for a liquor license in the spring.",
+    "Copyright law protects authors for many years.",
+    "The city issued a building license to the owner of the house.",
+    "A lecture on public domain music was held at the library.",
+    "You need a license plate and a registration to drive this car.",
+    "The court heard a case about copyright and parody.",
+    "Redistribution of income was the topic of the debate.",
+    "The licence fee pays for radio and television.",
+    "She lost her fishing license on the way to the lake.",
+    "The minister defended the redistribution of land.",
+    "They argued about the license for hours.",
+    "Poetic license lets a writer bend the rules.",
+    "Students asked which license to choose for their project.",
+    "An open letter about software and copyright was published.",
+    "The museum placed some pictures in the collection.",
+    "The weather in the north was cold and the roads were closed.",
+    "Please read the manual before you start the machine.",
+    "The new version of the program is faster than the last one.",
+    "A general question about public transport in the city.",
+    "Work on the bridge is expected to last until the summer.",
+    "The terms of the agreement were not made public.",
+    "Free software was the subject of the talk.",
+    "The committee met in the old town hall.",
+    "The author granted an interview about her software company.",
+    "The museum has received permission to use the hall free of charge.",
+    "In no event was the road closed for more than an hour.",
+    "Any person may obtain a copy of the report at the town hall.",
+    "The company is not liable for damages caused by the storm.",
+    "A notice on the door said that the shop was closed.",
+    "The warranty covers parts and labour for two years.",
+    "Visitors are free to copy the recipe and share it with friends.",
+    "The contributors to the volume come from many countries.",
+    "The eclipse could be seen in the public park.",
+    "The foundation published a general report on public schools.",
+    "The boost to the economy was expected.",
+    "Redistribute the dough evenly and let it rise without a cover.",
+    "All copies of the book were sold.",
+    "The following conditions were met by the applicants.",
+    "Rights and duties of citizens are taught at school.",
 ]
 
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
@@ -59,53 +211,74 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)}
 
 
-def gate() -> str:
-    """A pattern that every paragraph with CONFIRM of a notice's words matches.
+#: Words that say nothing about a paragraph.
+COMMON = set("a above all and any are as at be been being but by can do either even following for form free from has have if in including is it its list made may more most must name not of on one or other others out over prior see shall such terms that the their this to under use used via was which who will with without work you your".split())
 
-    Of each notice's m words so many are taken (the longest) that fewer than CONFIRM * m are left without them.
-    """
-    some = set()
+
+def needs() -> list[tuple[list[str], int]]:
+    """For each notice its words that are not common, and how many of them a paragraph has that holds CONFIRM of all its words."""
+    out = []
     for text in (t for ts in NOTICES.values() for t in ts):
-        words = sorted(set(words_of(text)), key=lambda w: (-len(w), w))
-        some.update(words[: len(words) - math.ceil(CONFIRM * len(words)) + 1])
-    # a pattern inside another one's words is enough for both
-    least = sorted(w for w in some if not any(v != w and v in w for v in some))
-    return "(?i)" + "|".join(re.escape(w) for w in least)
+        words = set(words_of(text))
+        least = next(n for n in range(len(words) + 1) if n / len(words) >= CONFIRM)
+        # longer words first, until one of them at least is needed
+        common = sorted(words & COMMON, key=lambda w: (-len(w), w))
+        telling = words - COMMON
+        while least - (len(words) - len(telling)) < 1:
+            telling.add(common.pop(0))
+        out.append((sorted(telling), least - (len(words) - len(telling))))
+    return out
+
+
+def confirmable(words: set[str]) -> bool:
+    """Whether some notice can be confirmed by these words; no other paragraph gets a family."""
+    return any(len(words.intersection(t)) >= n for t, n in needs())
 
 
 class Classifier:
     """Weights by feature, a bias for each class and the calibrated temperature; class 0 is unknown."""
 
-    def __init__(self, seed: int = 1, rounds: int = 30):
+    def __init__(self, seed: int = 1, folds: int = 4):
         self.classes = ["unknown", *NOTICES]
-        rng = random.Random(seed)
         rows = [(k, t) for k, name in enumerate(self.classes) for t in NOTICES.get(name, OTHERS if not k else [])]
-        fit = [(k, grams_of(self._noisy(t, rng, part))) for k, t in rows for part in range(8 if k else 14)]
-        held = [(k, grams_of(self._noisy(t, rng, part))) for k, t in rows for part in range(3)]
-        self.weights: dict[str, list[float]] = {}
-        self.bias = [0.0] * len(self.classes)
-        self.temperature = 1.0
-        for turn in range(rounds):
-            rng.shuffle(fit)
-            rate = 0.5 / (1 + 0.1 * turn)
-            for k, features in fit:
-                p = self.probabilities(features)
-                for c in range(len(p)):
-                    step = rate * ((c == k) - p[c])
-                    if abs(step) < 1e-4:
-                        continue
-                    self.bias[c] += 0.1 * step
-                    for f in features:
-                        self.weights.setdefault(f, [0.0] * len(p))[c] += step / math.sqrt(len(features))
-        # features that only the foreign words brought are dropped
-        real = set().union(*(grams_of(words_of(t)) for _, t in rows))
-        self.weights = {f: [round(x, 4) for x in w] for f, w in self.weights.items() if f in real and max(map(abs, w)) >= 0.05}
-        # the temperature under which held-out variants are most likely
+        # the temperature under which notices that were left out of the fit are most likely
+        z, truth = [], []
+        for fold in range(folds):
+            rng = random.Random(seed + fold)
+            self._fit([r for n, r in enumerate(rows) if n % folds != fold], rng)
+            for k, t in (r for n, r in enumerate(rows) if n % folds == fold):
+                for part in range(2):
+                    z.append(self._decide(grams_of(self._noisy(t, rng, part))))
+                    truth.append(k)
+        z, truth = np.array(z), np.array(truth)
         loss = {}
         for t in (0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0):
-            self.temperature = t
-            loss[t] = -sum(math.log(max(self.probabilities(f)[k], 1e-12)) for k, f in held)
+            p = z / t
+            loss[t] = float((np.log(np.exp(p - p.max(axis=1, keepdims=True)).sum(axis=1)) + p.max(axis=1) - p[np.arange(len(p)), truth]).mean())
         self.temperature = min(loss, key=loss.get)
+        self._fit(rows, random.Random(seed))
+
+    def _fit(self, rows: list[tuple[int, str]], rng: random.Random, rounds: int = 24) -> None:
+        """Stochastic gradient steps on variants of the rows; the features are n-grams of the rows themselves."""
+        names = sorted(set().union(*(grams_of(words_of(t)) for _, t in rows)))
+        place = {g: n for n, g in enumerate(names)}
+        some = [(k, g) for k, t in rows for part in range(8 if k else 14) for g in [grams_of(self._noisy(t, rng, part))]]
+        fit = [(k, np.array(sorted(place[f] for f in g if f in place), dtype=np.int64), 1 / math.sqrt(max(len(g), 1))) for k, g in some]
+        weights, bias = np.zeros((len(names), len(self.classes))), np.zeros(len(self.classes))
+        for turn in range(rounds):
+            rng.shuffle(fit)
+            rate = 0.5 / (1 + 0.1 * turn)
+            for k, at, scale in fit:
+                z = bias + weights[at].sum(axis=0) * scale
+                p = np.exp(z - z.max())
+                step = -rate * p / p.sum()
+                step[k] += rate
+                bias += 0.1 * step
+                weights[at] += step * scale
+        most = np.abs(weights).max(axis=1)
+        kept = np.sort(np.argsort(-most, kind="stable")[:FEATURES])
+        self.weights = {names[n]: [round(float(x), 4) for x in weights[n]] for n in kept if most[n] >= 0.05}
+        self.bias = [float(x) for x in bias]
 
     @staticmethod
     def _noisy(text: str, rng: random.Random, part: int) -> list[str]:
@@ -119,15 +292,17 @@ class Classifier:
             words = foreign[:cut] + words + foreign[cut:]
         return words
 
-    def probabilities(self, features) -> list[float]:
+    def _decide(self, features) -> list[float]:
         # features are summed in a fixed order, which the DataFrame form repeats
         scale = 1 / math.sqrt(max(len(features), 1))
         z = list(self.bias)
         for f in sorted(features):
-            w = self.weights.get(f)
-            if w:
-                for c, x in enumerate(w):
-                    z[c] += x * scale
+            for c, x in enumerate(self.weights.get(f, ())):
+                z[c] += x * scale
+        return z
+
+    def probabilities(self, features) -> list[float]:
+        z = self._decide(features)
         top = max(z)
         e = [math.exp((x - top) / self.temperature) for x in z]
         return [x / sum(e) for x in e]
@@ -190,23 +365,26 @@ def classify_paragraph(paragraph: Column, model: Classifier) -> Column:
     return F.element_at(step, 1)
 
 
-def confirmable(paragraph: Column) -> Column:
-    """Whether CONFIRM of the words of some notice are there, without the model: no other paragraph gets a family."""
-    sets = [sorted(set(words_of(t))) for ts in NOTICES.values() for t in ts]
-    notices = F.from_json(F.lit(json.dumps(sets)), "array<array<string>>")
-    every = F.from_json(F.lit(json.dumps(sorted(set().union(*map(set, sets))))), "array<string>")
-    least = min(next(n for n in range(len(t) + 1) if n / len(t) >= CONFIRM) for t in sets)
-    step = F.array(F.array_intersect(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), 0), every))
-    return paragraph.rlike(gate()) & F.exists(step, lambda w: (F.size(w) >= least) & F.exists(notices, lambda t: F.size(F.array_intersect(t, w)) / F.size(t) >= CONFIRM))
+def telling_words(paragraph: Column) -> Column:
+    """The words of a paragraph that are telling in some notice."""
+    every = F.from_json(F.lit(json.dumps(sorted(set().union(*(t for t, _ in needs()))))), "array<string>")
+    return F.array_intersect(F.regexp_extract_all(F.lower(paragraph), F.lit(_WORD), 0), every)
+
+
+def may_confirm(words: Column) -> Column:
+    """`confirmable` of the telling words of a paragraph."""
+    table = F.from_json(F.lit(json.dumps([{"words": t, "need": n} for t, n in needs()])), "array<struct<words:array<string>,need:int>>")
+    return (F.size(words) > 0) & F.exists(table, lambda t: F.size(F.array_intersect(t["words"], words)) >= t["need"])
 
 
 def scan_licences(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with the column `licences`: the classified paragraphs of each text, in order.
 
     `licences` is an array of (line, family, probability, share): the lines with an ANCHOR
-    word, other lines of a family, and notices that are wrapped over 2 to WRAPPED lines
-    with no blank line between them (line is then the first one, and lines of a family of
-    their own are not joined). family is "unknown" where the calibrated model or the
+    word, other lines of a family, and notices over several lines: those wrapped over 2 to
+    WRAPPED lines, and paragraphs of more lines up to a blank one (line is then the first
+    one; lines of a family of their own are not joined, and of overlapping notices the
+    first and shortest counts). family is "unknown" where the calibrated model or the
     notices do not confirm one. Null, empty and other texts without such a line have an
     empty array. Rows are independent of each other, so repeated rows, null ids and extra
     columns pass through; a column named licences is replaced.
@@ -214,38 +392,53 @@ def scan_licences(docs: DataFrame, column: str = "text") -> DataFrame:
     model = classifier()
     text = F.col(column).cast("string")
     kind = "array<struct<line:bigint,family:string,probability:double,share:double>>"
-    likely = lambda x: x.rlike(ANCHOR) | confirmable(x)
+    held = "array<struct<line:bigint,last:bigint,anchored:boolean,c:struct<family:string,probability:double,share:double>>>"
     known = lambda x: x["c"]["family"] != "unknown"
     flat = lambda found: F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["c"]["family"].alias("family"), x["c"]["probability"].alias("probability"), x["c"]["share"].alias("share"))).cast(kind)
+    # a transform over one element computes its argument once
+    once = lambda x, fn: F.element_at(F.transform(F.array(x), fn), 1)
 
     def classified(rows: Column) -> Column:
-        told = F.transform(rows, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["paragraph"].rlike(ANCHOR).alias("anchored"), classify_paragraph(x["paragraph"], model).alias("c")))
+        told = F.transform(rows, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["p"].rlike(ANCHOR).alias("anchored"), classify_paragraph(x["p"], model).alias("c")))
         return F.filter(told, lambda x: x["anchored"] | known(x))
 
-    def wrapped(lines: Column, own: Column) -> Column:
-        """Notices over several lines, the first and shortest of those that overlap."""
-        closed = F.transform(F.filter(own, known), lambda x: x["line"])
-        rows = F.filter(F.transform(lines, lambda p, i: F.struct((i + 1).cast("long").alias("line"), p.alias("p"))), lambda x: F.trim(x["p"]).rlike(r"\S") & ~F.array_contains(closed, x["line"]))
-        at = lambda x, n: F.struct(x["line"].alias("line"), (x["line"] + (n - 1)).alias("last"), F.array_join(F.slice(lines, x["line"].cast("int"), n), " ").alias("paragraph"))
+    def single(lines: Column) -> Column:
+        rows = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["line"].alias("last"), x["p"].alias("p"), x["words"].alias("words")))
+        return classified(F.filter(rows, lambda x: x["p"].rlike(ANCHOR) | may_confirm(x["words"])))
 
-        def joined(rows: Column) -> Column:
-            # rows n - 1 places on in the list are n - 1 lines on only if no line is left out between them
-            each = lambda x, i, n: F.when(F.get(rows, i + (n - 1))["line"] == x["line"] + (n - 1), at(x, n))
-            sets = F.flatten(F.transform(rows, lambda x, i: F.array(*(each(x, i, n) for n in range(2, WRAPPED + 1)))))
-            return F.filter(sets, lambda x: x.isNotNull() & confirmable(x["paragraph"]))
+    def joined(rows: Column) -> Column:
+        """Rows of 2 to WRAPPED lines from each line on, and of longer paragraphs; rows leave out lines."""
+        breaks = F.filter(F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)["line"] != x["line"] - 1), i)), lambda i: i.isNotNull())
 
-        found = F.filter(classified(F.flatten(F.transform(F.array(rows), joined))), known)
-        return F.aggregate(found, F.array().cast(held), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= x["line"]), acc).otherwise(F.concat(acc, F.array(x).cast(held))))
+        def several(breaks: Column) -> Column:
+            def each(x: Column, i: Column, n: Column) -> Column:
+                part = F.slice(rows, i + 1, n)
+                # n places on in the list are n lines on only if no line is left out between them
+                whole = F.get(rows, i + (n - 1))["line"] == x["line"] + (n - 1)
+                words = F.flatten(F.transform(part, lambda r: r["words"]))
+                return F.when(whole & may_confirm(words), F.struct(x["line"].alias("line"), (x["line"] + (n - 1)).alias("last"), F.array_join(F.transform(part, lambda r: r["p"]), " ").alias("p")))
 
-    held = "array<struct<line:bigint,last:bigint,anchored:boolean,c:struct<family:string,probability:double,share:double>>>"
+            def of_row(x: Column, i: Column) -> Column:
+                end = F.coalesce(F.array_min(F.filter(breaks, lambda b: b > i)), F.size(rows))
+                long = F.when(F.array_contains(breaks, i) & (end - i > WRAPPED), each(x, i, end - i))
+                return F.array(*(each(x, i, F.lit(n)) for n in range(2, WRAPPED + 1)), long)
+
+            return F.filter(F.flatten(F.transform(rows, of_row)), lambda x: x.isNotNull())
+
+        return once(breaks, several)
+
+    def wrapped(lines: Column, own: Column) -> Column:
+        closed = F.transform(F.filter(own, known), lambda x: x["line"])
+        rows = F.filter(lines, lambda x: x["p"].rlike(r"\S") & ~F.array_contains(closed, x["line"]))
+        found = F.filter(classified(once(rows, joined)), known)
+        return F.aggregate(found, F.array().cast(held), lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= x["line"]), acc).otherwise(F.concat(acc, F.array(x).cast(held))))
 
     def scanned(lines: Column) -> Column:
-        single = F.filter(F.transform(lines, lambda p, i: F.struct((i + 1).cast("long").alias("line"), (i + 1).cast("long").alias("last"), p.alias("paragraph"))), lambda x: likely(x["paragraph"]))
-        # each step is a transform over one element, so that its result is computed once
-        return F.element_at(F.transform(F.array(classified(single)), lambda own: F.array_sort(F.concat(flat(own), flat(wrapped(lines, own))))), 1)
+        return once(single(lines), lambda own: F.array_sort(F.concat(flat(own), flat(wrapped(lines, own)))))
 
-    found = F.element_at(F.transform(F.array(F.split(text, "\n", -1)), scanned), 1)
-    return docs.withColumn("licences", F.when(likely(text), found).otherwise(F.array().cast(kind)))
+    lines = F.transform(F.split(text, "\n", -1), lambda p, i: F.struct((i + 1).cast("long").alias("line"), p.alias("p"), telling_words(p).alias("words")))
+    likely = text.rlike(ANCHOR) | once(telling_words(text), may_confirm)
+    return docs.withColumn("licences", F.when(likely, once(lines, scanned)).otherwise(F.array().cast(kind)))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
