@@ -24,6 +24,8 @@ from . import textkit
 CACHE_WORDS = 1_000_000
 #: Text whose new words are sorted into one trie.
 BLOCK_BYTES = 4 << 20
+#: Pairs of tokens that are remembered.
+FITS = 1_000_000
 
 
 class PrefixBpe:
@@ -65,11 +67,16 @@ class PrefixBpe:
         found = self._fits.get((left, right))
         if found is None:
             found = left < 0 or right < 0 or self._apart(left, right)
-            if len(self._fits) > 4_000_000:
+            if len(self._fits) > FITS:
                 self._fits.clear()
             self._fits[left, right] = found
         return found
 
+    def forget(self) -> None:
+        """Keep no more pairs than are soon known again."""
+        if len(self._fits) > FITS // 4:
+            self._fits.clear()
+
     def _apart(self, left: int, right: int) -> bool:
         rank_of = self.pair_rank
         edge = self.spine(right, 0)
@@ -202,6 +209,12 @@ class ByteLevelBpe:
         for word, _, state in self.core.walk(sorted(plain), b"", self.code):
             cache[plain[word]] = state[-1]
 
+    def forget(self) -> None:
+        """Give back what a task has learnt: its worker goes on to other stages."""
+        self.cache.clear()
+        self.core.forget()
+        textkit.release()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian 32-bit integers."""
         split = [self.words(t) for t in texts]
@@ -233,12 +246,15 @@ def encode_decode(docs: DataFrame, tokenizer: str, column: str = "text") -> Data
 
     def run(batches):
         bpe = ByteLevelBpe.load(tokenizer)
-        for batch in batches:
-            for first, n in textkit.blocks(batch.column(at).cast(pa.large_string()), BLOCK_BYTES):
-                rows = batch.slice(first, n)
-                ids = bpe.encode_batch([t or "" for t in rows.column(at).to_pylist()])
-                decoded = [bpe.decode(x) for x in ids]
-                yield pa.record_batch([*rows.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=schema.names)
+        try:
+            for batch in batches:
+                for first, n in textkit.blocks(batch.column(at).cast(pa.large_string()), BLOCK_BYTES):
+                    rows = batch.slice(first, n)
+                    ids = bpe.encode_batch([t or "" for t in rows.column(at).to_pylist()])
+                    decoded = [bpe.decode(x) for x in ids]
+                    yield pa.record_batch([*rows.columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(decoded, pa.string())], names=schema.names)
+        finally:
+            bpe.forget()
 
     return docs.mapInArrow(run, schema)
 
