@@ -28,6 +28,8 @@ from . import textkit
 MAX_EDITS, RECALL = 0.2, 0.98
 #: Sampled steps of a repetition, most repetitions, and bytes of items that one pass broadcasts (with their keys, some ten times that).
 SAMPLES, MOST_REPETITIONS, PASS_BYTES = 4, 256, 4 << 20
+#: Steps of a walk at most: longer items are walked through from random places inside them.
+WALK = 128
 #: Items with fewer words are looked for by whole parts; words on both sides of the items that calibrate.
 EXACT_BELOW, AMID = 16, 40
 
@@ -36,8 +38,8 @@ _END = _U(0x5EED)
 
 
 def _steps(words: int, rng: np.random.Generator) -> np.ndarray:
-    """The sampled steps of a band: the first one, which reads the window's first word, and others anywhere in the walk of an item-sized window."""
-    rest = np.arange(1, max(2 * words, SAMPLES))
+    """The sampled steps of a band: the first one, which reads the window's first word, and others anywhere in the walk of an item-sized window (of WALK steps at most)."""
+    rest = np.arange(1, max(min(2 * words, WALK), SAMPLES))
     return np.concatenate([[0], np.sort(rng.choice(rest, SAMPLES - 1, replace=False))])
 
 
@@ -89,6 +91,7 @@ class Sampler:
     def _enough(self, members: np.ndarray, draws: list[dict], trials: int = 600) -> int:
         """Repetitions that find the target share of items edited as much as is allowed, amid other words."""
         rng = np.random.default_rng(5)
+        trials = int(max(100, min(trials, 60_000 // np.mean([len(self.items[m]) for m in members]))))
         texts, owner = [], []
         for t in range(trials):
             m = int(members[t % len(members)])
