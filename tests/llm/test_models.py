@@ -122,13 +122,49 @@ def test_disguised_insults():
     assert (score[toxic] >= 0.3).mean() > 0.9 and (score[~toxic] >= 0.3).mean() < 0.1
 
 
+def test_two_characters_put_in_everywhere():
+    rows = labelled(400, 4)
+    model = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    spaced = labelled(150, 6, lambda word, rng: rng.choice(["--", "**", "._"]).join(word))
+    score = model.score(pa.array([r[1] for r in spaced]))
+    toxic = np.array([r[2] for r in spaced]) > 0
+    assert (score[toxic] >= 0.3).mean() > 0.8 and (score[~toxic] >= 0.3).mean() < 0.1
+
+
+def test_score_of_the_folded_table():
+    """A decision by the table of subsequences is the sum over the landmarks; a document's score comes from its best word."""
+    rows = labelled(200, 7)
+    model = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    text = "grubnose and mud-licker stone wormbrainnn ---- x"
+    found = toxicity.instances(pa.array([text]), keep_texts=True)
+    assert set(found.texts) == {b"grubnose", b"and", b"mud-licker", b"mudlicker", b"stone", b"wormbrainnn", b"-", b"x"}
+    plain = []
+    for codes, size in zip(found.codes, found.sizes, strict=True):
+        c, v = toxicity.subsequences(codes[None], np.array([size]))
+        plain.append(sum(model.table[k] * w for k, w in zip(c[0], v[0], strict=True)) + model.bias)
+    best = min(max(*plain, -2.0), 2.0)
+    assert model.score(pa.array([text]))[0] == pytest.approx(1 / (1 + math.exp(-(best * model.line[0] + model.line[1]))))
+
+
+def test_long_texts_are_learnt_from(spark):
+    """Sentences of texts of any length take part, and a sentence without an end is read in pieces."""
+    rows = labelled(60, 9)
+    long = [(k, " ".join([t] * 80) if k % 2 else t, y) for k, t, y in rows]
+    df = spark.createDataFrame([r[:2] for r in long], "doc_id long, text string")
+    out = toxicity.score_documents(df, spark.createDataFrame([(r[0], r[2]) for r in long], "doc_id long, toxic int"))
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r.predicted == truth[r.doc_id] for r in out.collect()) >= 0.9 * len(rows)
+    pieces = toxicity.sentences_of("ab " * 1000 + "end. Next one!")
+    assert pieces[-1] == "Next one" and all(len(p) <= toxicity.SENTENCE for p in pieces) and len(pieces) > 5
+
+
 def test_kernel_is_the_sum_over_subsequences():
     def explicit(word):
         s, out = "^" + word + "$", Counter()
         for i in range(len(s)):
             for j in range(i + 1, len(s)):
                 for k in range(j + 1, len(s)):
-                    if k - i - 2 <= 2:
+                    if k - i - 2 <= toxicity.GAP:
                         out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i - 2)
         return out
 

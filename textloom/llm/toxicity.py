@@ -1,15 +1,17 @@
 """Toxicity by a support vector machine on a subsequence string kernel.
 
 The kernel of two words counts their common subsequences of three characters that leave
-out two characters at most (so a word with two characters between all letters shares
-none of them), each
-occurrence weighted by DECAY to the power of the characters it leaves out, so an insult
-keeps most of its weight when characters are inserted or dropped. Words are mapped to the
-Nystroem features of a set of landmark words and a linear machine with squared hinge loss
-is trained on them. Labels belong to documents, so training is multiple-instance: words
-that distinct sentences of toxic documents have far more often than others start as
-positive, words of clean documents are negative, and the clean words that score highest
-are added in rounds. A document's score is calibrated from its words' decisions.
+out GAP characters at most, each occurrence weighted by DECAY to the power of the
+characters it leaves out, so an insult keeps most of its weight when characters are
+inserted or dropped. A word with punctuation inside is read without it as well, however
+much there is, and so is a run of single letters. Words are mapped to the Nystroem features of a set of
+landmark words and a linear machine with squared hinge loss is trained on them.
+
+Training is on labelled sentences, which have their document's label as that of a bag of
+words: words that distinct toxic sentences have far more often than others start as
+positive, words of clean sentences are negative, and the clean words that score highest
+are added in rounds. A sentence decides as its most toxic word does, a document as its
+most toxic sentence; the score is that decision calibrated on the labelled documents.
 
 A decision is a weighted sum of kernels with the landmarks, so it folds into one weight
 for each subsequence: executors score words against that table, not against landmarks.
@@ -27,9 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textkit
+from .store import settle
 
-#: Labelled rows that a model is fitted on, at most: toxic, clean; and the longest text among them in bytes.
-FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1500, 3000, 20_000
+#: Labelled documents that a model is fitted on, at most (toxic, clean), and distinct sentences of theirs (toxic, clean).
+FIT_TOXIC, FIT_CLEAN = 1500, 3000
+FIT_TOXIC_SENTENCES, FIT_CLEAN_SENTENCES = 40_000, 80_000
+#: Characters after which a sentence without an end is cut.
+SENTENCE = 500
 LANDMARKS, NEGATIVES, ROUNDS = 240, 8_000, 3
 DECAY = 0.6
 #: Score from which a document counts as toxic.
@@ -37,8 +43,9 @@ THRESHOLD = 0.3
 #: Characters of a word that one kernel evaluation sees; longer words are windows with half overlap.
 WIDTH = 20
 
-#: Characters left out between the first and second and the second and third one: two in all at most.
-_GAPS = [(a, b) for a in range(3) for b in range(3 - a)]
+#: Characters that a subsequence may leave out.
+GAP = 2
+_GAPS = [(a, b) for a in range(GAP + 1) for b in range(GAP + 1 - a)]
 #: Byte classes: 0 nothing, 1 begin, 2 end, letters, digits, other ASCII, bytes of other characters.
 _CLASS = np.array([3 + b - 97 if 97 <= b <= 122 else 3 + b - 65 if 65 <= b <= 90 else 29 + b - 48 if 48 <= b <= 57 else 39 if b < 128 else 40 + b % 24 for b in range(256)], dtype=np.uint8)
 
@@ -57,13 +64,24 @@ class Instances:
 
 
 def instances(column: pa.Array, keep_texts: bool = False) -> Instances:
-    """Distinct words of a block without their outer punctuation, long words as windows, spelled-out runs joined."""
+    """Distinct words of a block without their outer punctuation, and without any; long words as windows, spelled-out runs joined."""
     words = textkit.scan(column)
-    start, end, data = words.start.copy(), words.end.copy(), words.data
-    for _ in range(8):
-        start += (start < end - 1) & textkit.PUNCTUATION[data[np.minimum(start, len(data) - 1)]] if len(start) else 0
-        end -= (end > start + 1) & textkit.PUNCTUATION[data[end - 1]] if len(end) else 0
+    data = words.data
+    # the first and the last byte of a word that are no punctuation; a word of nothing else keeps its last one
+    place = np.arange(len(data))
+    solid = ~textkit.PUNCTUATION[data]
+    after = np.minimum.accumulate(np.where(solid, place, len(data))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(solid, place, -1))
+    start = np.minimum(after[words.start], words.end - 1)
+    end = np.maximum(before[words.end - 1], start) + 1
     size, row = end - start, words.doc
+    # words with punctuation inside, without it
+    upto = np.concatenate([[0], np.cumsum(solid)])
+    inner = np.flatnonzero((upto[end] - upto[start] < size) & (upto[end] - upto[start] > 2)) if len(size) else np.zeros(0, np.int64)
+    start = np.concatenate([start, len(data) + upto[start[inner]]])
+    size = np.concatenate([size, upto[end[inner]] - upto[words.start[inner]]])
+    row = np.concatenate([row, row[inner]])
+    data, end = np.concatenate([data, data[solid]]), start + size
     parts = [(start, size, row)]
     long = np.flatnonzero(size > WIDTH)
     if len(long):
@@ -72,7 +90,7 @@ def instances(column: pa.Array, keep_texts: bool = False) -> Instances:
         step = np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more) + 1
         begin = np.minimum(start[of] + step * (WIDTH // 2), end[of] - WIDTH)
         parts.append((begin, np.full(len(of), WIDTH), row[of]))
-    joined, jrow = _spelled(data, start, size, row)
+    joined, jrow = _spelled(words.data, start[: len(words.doc)], size[: len(words.doc)], words.doc)
     if joined:
         base = len(data)
         data = np.concatenate([data, np.frombuffer(b"".join(joined), dtype=np.uint8)])
@@ -162,7 +180,7 @@ class Model:
     """table: weight of each subsequence; bias; and the calibration of (best decision of a document's words, 1)."""
 
     table: np.ndarray
-    bias: float
+    bias: float | None
     line: np.ndarray
     prior: float
 
@@ -273,18 +291,35 @@ def _vocabulary(sentences: dict[str, bool]) -> tuple[Instances, np.ndarray]:
     return Instances(np.concatenate(codes), np.concatenate(sizes), np.concatenate(kinds), np.zeros(0, np.int64), len(texts), np.zeros(0, np.uint64), names), np.concatenate(toxic)
 
 
+def sentences_of(text: str) -> list[str]:
+    """The sentences of a text, long ones in pieces that overlap by the width of a word's window."""
+    out = []
+    for s in re.split(r"[.!?\n]+", text):
+        s = s.strip()
+        out += [s[k : k + SENTENCE] for k in range(0, max(len(s) - WIDTH, 1), SENTENCE - WIDTH)] if s else []
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts; without texts of both classes the score is the share of toxic ones."""
-    y = np.array(labels, dtype=float)
-    prior = float(y.mean()) if len(y) else 0.0
-    none = Model(np.zeros(1), 0.0, np.zeros(0), prior)
-    if not 0 < prior < 1:
-        return none
-    # sentences of copies count once
     sentences: dict[str, bool] = {}
     for text, label in zip(texts, labels, strict=True):
-        for s in re.split(r"[.!?\n]+", text):
+        for s in sentences_of(text):
+            # sentences of copies count once
             sentences[s] = sentences.get(s, True) and bool(label)
+    model = train(sentences, float(np.mean(labels)) if labels else 0.0)
+    if model.bias is None:
+        return model
+    x = np.concatenate([model.features(instances(pa.array(texts[k : k + 50], pa.large_string()))) for k in range(0, len(texts), 50)])
+    model.line = _logistic(x, np.array(labels, dtype=float))
+    return model
+
+
+def train(sentences: dict[str, bool], prior: float) -> Model:
+    """The machine of labelled sentences, not calibrated; prior: share of toxic documents. bias is None if nothing can be learnt."""
+    none = Model(np.zeros(1), None, np.zeros(0), prior)
+    if not 0 < prior < 1:
+        return none
     found, toxic = _vocabulary(sentences)
     kind = found.kind
     if not len(kind):
@@ -336,22 +371,58 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         hard = clean[np.argsort(-model.decide(found.codes[clean], found.sizes[clean]), kind="stable")][:2000]
         fresh = hard[~np.isin(hard, negative)]
         negative = np.concatenate([negative, fresh])
-    x = np.concatenate([model.features(instances(pa.array(texts[k : k + 50], pa.large_string()))) for k in range(0, len(texts), 50)])
-    model.line = _logistic(x, y)
     return model
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most FIT_TOXIC and FIT_CLEAN labelled texts (FIT_BYTES each at most), chosen by a hash of their id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text) of at most FIT_TOXIC and FIT_CLEAN labelled rows that are not held out, chosen by a hash of their id."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     known = known.filter(~held_out("doc_id"))
-    short = docs.filter(F.octet_length("text") <= FIT_BYTES)
+    present = known.join(docs.filter("doc_id is not null and text is not null").select("doc_id").distinct(), "doc_id", "left_semi")
     picked = None
     for value, most in ((1, FIT_TOXIC), (0, FIT_CLEAN)):
-        some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = present.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
-    rows = short.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "toxic").collect()
-    return [r.text for r in rows], [r.toxic for r in rows]
+    # an id that repeats gives its first text
+    rows = docs.filter("text is not null").join(F.broadcast(settle(picked, "picked")), "doc_id")
+    return settle(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("toxic", "text"), "labelled")
+
+
+def _split(batches):
+    for batch in batches:
+        toxic, out = [], []
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = sentences_of(text)
+            toxic += [label] * len(found)
+            out += found
+        yield pa.record_batch([pa.array(toxic, pa.int32()), pa.array(out, pa.string())], names=["toxic", "sentence"])
+
+
+def fit_sample(sample: DataFrame) -> Model:
+    """The model of a settled sample (toxic, text): sentences come to the driver, texts do not."""
+    spark = sample.sparkSession
+    rows, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    prior = (toxic or 0) / rows if rows else 0.0
+    once = sample.mapInArrow(_split, "toxic int, sentence string").groupBy("sentence").agg(F.min("toxic").alias("toxic"))
+    sentences: dict[str, bool] = {}
+    for value, most in ((1, FIT_TOXIC_SENTENCES), (0, FIT_CLEAN_SENTENCES)) if 0 < prior < 1 else ():
+        for r in once.filter(F.col("toxic") == value).orderBy(F.xxhash64("sentence"), "sentence").limit(most).collect():
+            sentences[r.sentence] = bool(value)
+    model = train(sentences, prior)
+    if model.bias is None:
+        return model
+    shared = spark.sparkContext.broadcast(model)
+
+    def decide(batches):
+        for batch in batches:
+            for at, n in textkit.blocks(batch.column(1)):
+                found = shared.value.features(instances(batch.column(1).slice(at, n)))
+                yield pa.record_batch([batch.column(0).slice(at, n), pa.array(found[:, 0])], names=["toxic", "best"])
+
+    told = sample.mapInArrow(decide, "toxic int, best double").orderBy("best", "toxic").toArrow()
+    best, y = (told.column(c).to_numpy().astype(float) for c in ("best", "toxic"))
+    model.line = _logistic(np.stack([best, np.ones(len(best))], axis=1), y)
+    return model
 
 
 def held_out(column: str):
@@ -373,7 +444,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: bool = False) -> D
     whole = docs.drop("held_out", "score", "predicted")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").alias("toxic"))
-    shared = spark.sparkContext.broadcast(fit(*sample_labelled(docs, labels)))
+    shared = spark.sparkContext.broadcast(fit_sample(labelled_sample(docs, labels)))
 
     source = whole if keep else docs
     at_text = source.columns.index("text")
@@ -385,6 +456,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: bool = False) -> D
                 rows = batch.slice(at, n)
                 out = rows.columns if keep else rows.columns[:1]
                 yield pa.record_batch([*out, pa.array(model.score(rows.column(at_text)))], names=schema.names)
+            textkit.release()
 
     schema = StructType(list(source.schema) if keep else list(source.schema)[:1]).add("score", "double")
     out = source.mapInArrow(run, schema)
