@@ -172,11 +172,6 @@ def _put(folder: str, name: str, *arrays: np.ndarray) -> None:
                 out.write(a.tobytes() + bytes(-a.nbytes % 8))
 
 
-def _split48(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The upper 48 bits as two columns."""
-    return (hashes >> _U(32)).astype("<u4"), ((hashes >> _U(16)) & _U(0xFFFF)).astype("<u2")
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and more, from the counts of counts."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
@@ -328,16 +323,25 @@ def train(docs: DataFrame) -> Model:
         for bucket, _, (token,), count in _by_bucket(batches, False, ["<u8"]):
             token, count = _counted(token, weight=count)
             _put(folder, f"uni-{bucket}", token, count.astype("<i8"))
-            top = np.argsort(-count)[:HOT_CONTEXTS]
+            # a token above the share in all text is above it in its range
+            top = np.flatnonzero(count * HOT_CONTEXTS > count.sum())
             yield pa.record_batch([pa.array([bucket]), pa.array([len(token)]), pa.array([int(count.sum())]), pa.array([token[top].tobytes()], pa.binary()), pa.array([count[top].astype("<i8").tobytes()], pa.binary())], names=["bucket", "n", "total", "top", "counts"])
 
     packed = docs.mapInArrow(count_unigrams, "bucket int, data binary")
-    told = settle(packed.repartition(parts, "bucket").mapInArrow(write_unigrams, "bucket long, n long, total long, top binary, counts binary"), "uni").collect()
-    files = {"uni": {r.bucket: (r.n,) for r in told}, "ctx": {}, "cont": {}}
-    tokens, types = sum(r.total for r in told), sum(r.n for r in told)
-    name = np.concatenate([np.frombuffer(r.top, _U) for r in told]) if told else np.zeros(0, _U)
-    often = np.concatenate([np.frombuffer(r.counts, "<i8") for r in told]) if told else np.zeros(0, np.int64)
-    hot = np.sort(np.append(name[often * HOT_CONTEXTS > tokens], BEGIN))
+    told = settle(packed.repartition(parts, "bucket").mapInArrow(write_unigrams, "bucket long, n long, total long, top binary, counts binary"), "uni")
+    ranges_told = told.select("bucket", "n", "total").collect()
+    files = {"uni": {r.bucket: (r.n,) for r in ranges_told}, "ctx": {}, "cont": {}}
+    tokens, types = sum(r.total for r in ranges_told), sum(r.n for r in ranges_told)
+
+    def frequent(batches):
+        for batch in batches:
+            name = np.concatenate([np.frombuffer(x.as_buffer(), _U) for x in batch.column(0)]) if batch.num_rows else np.zeros(0, _U)
+            often = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.record_batch([pa.array(name[often * HOT_CONTEXTS > tokens].view(np.int64))], names=["token"])
+
+    # fewer than HOT_CONTEXTS tokens come to the driver
+    hot = told.select("top", "counts").mapInArrow(frequent, "token long").toArrow().column(0).to_numpy().view(_U)
+    hot = np.sort(np.append(hot, BEGIN))
     del packed
     _release(spark)
 

@@ -25,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the session's file systems close."""
-    path = f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    """A fresh path in the shared folder, with its file system's scheme, deleted when the session's file systems close."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom-{name}-{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target = system.makeQualified(target)
+    system.deleteOnExit(target)
+    return target.toString()
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

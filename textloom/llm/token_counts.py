@@ -21,7 +21,6 @@ from .bpe import BLOCK_BYTES, CACHE_WORDS, PrefixBpe
 
 SPACE = "▁"
 #: Pieces of the model that only join spaces carry this score and are merged last, leftmost first.
-LAST_SCORE = -1e8
 
 
 class PieceBpe:
