@@ -60,3 +60,20 @@ def test_columns(spark):
         rows = [(t, e) for n, t, e in CASES if n == name]
         df = spark.createDataFrame(rows, "s string, e string").coalesce(1)
         assert [r[0] for r in df.select(get(name).column("s")).collect()] == [e for _, e in rows], name
+
+
+def test_command_line(tmp_path, monkeypatch, capsys):
+    import io
+
+    from textloom.__main__ import main
+
+    (tmp_path / "p.loom").write_text('main := ("<" /[0-9]+/ ">" | /[^!]/)*')
+    for text, code, out, err in (("a12", 0, "a<12>", ""), ("a!", 1, "", "rejected at symbol 1\n")):
+        for engine in ("kernel", "backtrack"):
+            monkeypatch.setattr("sys.stdin", io.StringIO(text))
+            assert main(["run", str(tmp_path / "p.loom"), "--engine", engine]) == code
+            assert tuple(capsys.readouterr()) == (out, err)
+    assert main(["explain", str(tmp_path / "p.loom")]) == 0 and "main: " in capsys.readouterr().out
+    assert main(["dot", str(tmp_path / "p.loom"), "--time"]) == 0
+    drawn = capsys.readouterr()
+    assert drawn.out.startswith("digraph") and "compile: " in drawn.err
