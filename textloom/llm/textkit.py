@@ -34,6 +34,7 @@ BLOCK_BYTES = 1 << 20
 
 def release() -> None:
     """Give freed memory back to the system, where the C library can; workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
