@@ -97,6 +97,24 @@ def test_groups_that_a_star_leaves_open(spark, monkeypatch):
     assert shown(joined(spark, rows)) == shown(brute(rows))
 
 
+@pytest.mark.parametrize("block", [ssjoin.BLOCK_BYTES, 20_000])
+def test_all_links_of_large_groups_count(spark, monkeypatch, block):
+    """Every link of a class counts once, also those between members of groups that only their hub was compared with."""
+    monkeypatch.setattr(ssjoin, "BLOCK_BYTES", block)
+    rng, rows = random.Random(2), []
+    for base in (prose(60, 11), prose(90, 12), prose(300, 13)):
+        for _ in range(40):
+            parts = base.split(" ")
+            for _ in range(rng.randrange(0, 4)):
+                parts[rng.randrange(len(parts))] = f"v{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(parts)))
+    rows += [(500 + k, " ".join(rng.choice("abcd") for _ in range(rng.randrange(5, 12)))) for k in range(60)]
+    sets = {shingles(t) for _, t in rows}
+    want = [(i, sum(100 * len(s & x) >= 75 * len(s | x) for x in sets) - 1) for i, s in ((i, shingles(t)) for i, t in rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted((r.doc_id, r.n_links) for r in similarity_classes(df).collect()) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 70), st.integers(0, 10**9), st.booleans())
 def test_linked_sets_share_a_key(size, seed, hot):

@@ -14,10 +14,10 @@ segments for its H adds the next, finer partition; its partner does so too unles
 already met the condition. The order is only a matter of cost: candidates are complete
 whatever the frequency estimates are.
 
-Candidates of one key are not paired with each other: they are compared with the group's
-smallest member. Members of a group that are in different components after that are
-compared by parity sketches in blocks, out of which only possible links come (see
-`_close_groups`). Verification intersects the whole sets.
+Candidates of a key with many are not paired with each other: they are compared with the
+group's smallest member. All members of such groups are then compared in blocks, by parity
+sketches and by whole sets, out of which come numbers of links and what joins components
+(see `_close_groups`). Verification intersects the whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .graph import components
+from .graph import components, forest
 from .store import first_copies, keep_ids, settle
 
 #: Words in a shingle and the similarity (in per cent) that links two documents.
@@ -394,10 +394,7 @@ class _Verifier:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose sets reach the similarity, settled."""
-        return self.verified(settle(self._near(pairs), f"{name}-near"), name)
-
-    def verified(self, near: DataFrame, name: str) -> DataFrame:
-        """Settled pairs that sketches leave, by their whole sets."""
+        near = settle(self._near(pairs), f"{name}-near")
         sets = self.sets_of(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), name)
         both = self.joined(self.joined(near, sets, "a", "sa"), sets, "b", "sb")
         return settle(both.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a long, b long"), name)
@@ -415,8 +412,8 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """Jaccard join of documents on their word shingles.
 
     docs: columns doc_id, text (others are ignored). Returns one row per input row:
-    doc_id, n_shingles, class_id (smallest doc_id with the same set), n_links (links of
-    its class to other classes that were verified) and component_id (smallest doc_id
+    doc_id, n_shingles, class_id (smallest doc_id with the same set), n_links (all links of
+    its class to other classes) and component_id (smallest doc_id
     reachable by links, itself included). A document linked to nothing has its own id.
     Null and blank texts have no shingle, link to nothing and keep their id; a text with
     fewer than `words` words has its whole sequence as its only shingle. A row with a null
@@ -449,102 +446,162 @@ def similarity_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     pairs = settle(met.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     members = met.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
     verifier = _Verifier(docs, filled, words, percent)
-    links, comp = _close_groups(verifier.links(pairs, "links"), members, verifier)
-    return _by_document(described, links, comp)
-
-
-#: Bytes of sketches in a block of a large group, and words that one comparison of blocks holds.
-BLOCK_BYTES, STEP_WORDS = 2 << 20, 1 << 20
-
-
-def _near_pairs(percent: int):
-    """Pairs of a unit (one block of a group, or two) in different components whose sketches do not rule the similarity out."""
-
-    def near(p: dict, q: dict):
-        """Pairs (i, j) of rows of two tables with sketches of one length each, that of p the shorter one or equal."""
-        size = p["bits"].shape[1]
-        if not len(p["n"]) or not len(q["n"]):
-            return
-        other = np.bitwise_xor.reduce(q["bits"].reshape(len(q["n"]), -1, size), axis=1)
-        step = max(1, STEP_WORDS // (size * len(other)))
-        for at in range(0, len(p["n"]), step):
-            n, m = p["n"][at : at + step, None], q["n"][None]
-            most = (100 - percent) * (n + m) // (100 + percent)
-            fits = (p["comp"][at : at + step, None] != q["comp"][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            differ = np.zeros(fits.shape, dtype=np.int64)
-            for k in range(size):
-                differ += np.bitwise_count(p["bits"][at : at + step, None, k] ^ other[None, :, k])
-            i, j = np.nonzero(fits & (differ <= most))
-            yield p["node"][i + at], q["node"][j]
-
-    def tables(part: pa.Table) -> list[dict]:
-        """The rows by length of their sketches and by whether they are in the group's largest component."""
-        columns = {c: part.column(c).to_numpy() for c in ("node", "comp", "n", "main")}
-        sketches = part.column("sketch").combine_chunks()
-        size = np.array([len(x.as_buffer()) for x in sketches], dtype=np.int64)
-        out = []
-        for length in np.unique(size).tolist():
-            for main in (False, True):
-                at = np.flatnonzero((size == length) & (columns["main"] == main))
-                if not len(at):
-                    continue
-                bits = np.frombuffer(b"".join(sketches[i].as_buffer().to_pybytes() for i in at.tolist()), dtype=_U).reshape(len(at), -1)
-                out.append({c: v[at] for c, v in columns.items()} | {"bits": bits, "is_main": main})
+    counts, comp = _close_groups(verifier.links(pairs, "links"), members, verifier)
+    return _by_document(described, counts, comp)
+
+
+#: Bytes of sets and sketches in a block of a large group, and members that one comparison holds.
+BLOCK_BYTES, STEP_WORDS = 4 << 20, 1 << 20
+
+
+class _Lists:
+    """Lists of values that are compared by their common values; those of one list only are left out."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        names, code, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        row = np.repeat(np.arange(len(sizes)), sizes)[shared]
+        self.code = code[shared].astype(np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sizes)))])
+        self.there = np.zeros(len(names), dtype=np.uint8)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many values each of the others (sorted) shares with list i."""
+        own = self.code[self.ends[i] : self.ends[i + 1]]
+        out = np.zeros(len(others), dtype=np.int64)
+        if not len(own):
+            return out
+        self.there[own] = 1
+        low, high = self.ends[others], self.ends[others + 1]
+        step = (np.cumsum(high - low) - 1) // STEP_WORDS
+        for k in np.unique(step).tolist():
+            at = np.flatnonzero(step == k)
+            a, b = low[at], high[at]
+            n = b - a
+            if 2 * n.sum() >= b[-1] - a[0]:
+                hits = self.there[self.code[a[0] : b[-1]]]
+                a, b = a - a[0], b - a[0]
+            else:
+                b = np.cumsum(n)
+                hits, a = self.there[self.code[np.arange(b[-1]) + np.repeat(a - b + n, n)]], b - n
+            total = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
+            out[at] = total[b] - total[a]
+        self.there[own] = 0
         return out
 
+
+def _unit_links(percent: int, whole: bool):
+    """Links of a unit (one block of a cluster, or two), each pair in the first of its common clusters: how many each
+    member has, and the components that they join. By sketches only, unless whole: the members that may have some."""
+
     def run(key, part):
-        first, second = key[1].as_py(), key[2].as_py()
-        block = part.column("block").to_numpy()
-        left = tables(part.filter(pa.array(block == first)))
-        right = left if first == second else tables(part.filter(pa.array(block == second)))
-        found = []
-        for k, p in enumerate(left):
-            for q in left[k:] if first == second else right:
-                # members of the largest component are in no open pair with each other
-                if p["is_main"] and q["is_main"]:
-                    continue
-                found += near(p, q) if p["bits"].shape[1] <= q["bits"].shape[1] else near(q, p)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ([], [])))
-        pair = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(np.ascontiguousarray(pair[:, 0])), "b": pa.array(np.ascontiguousarray(pair[:, 1]))})
+        hub, first, second = (k.as_py() for k in key)
+        order = np.argsort(part.column("n").to_numpy(), kind="stable")
+        part = part.take(pa.array(order))
+        node, size, block = (part.column(c).to_numpy() for c in ("node", "n", "block"))
+        if whole:
+            comp, sets = part.column("comp").to_numpy(), _Lists(np.frombuffer(b"".join(part.column("members").to_pylist()), dtype=_U), size)
+        hubs = part.column("hubs").to_pylist()
+        before = [[h for h in x if h < hub] for x in hubs]
+        seen = _Lists(np.array([h for x in before for h in x], dtype=np.int64), np.array([len(x) for x in before], dtype=np.int64))
+        sketches = part.column("sketch").to_pylist()
+        # sorted by size, so sketches of one length lie together
+        width = np.array([len(x) // 8 for x in sketches], dtype=np.int64)
+        start, count = _groups(width)
+        bits = [np.frombuffer(b"".join(sketches[a : a + n]), dtype=_U).reshape(n, -1) for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+        folded: dict[tuple[int, int], np.ndarray] = {}
+
+        def fold(group: int, to: int) -> np.ndarray:
+            if (group, to) not in folded:
+                folded[group, to] = np.bitwise_xor.reduce(bits[group].reshape(len(bits[group]), -1, to), axis=1)
+            return folded[group, to]
+
+        last = np.searchsorted(size, size * 100 // percent, side="right")
+        group_of = np.repeat(np.arange(len(start)), count)
+        links, joined = np.zeros(len(node), dtype=np.int64), []
+        for i in range(len(node)):
+            others = np.arange(i + 1, last[i])
+            if first != second:
+                others = others[block[others] != block[i]]
+            if len(others) and len(before[i]):
+                others = others[seen.common(i, others) == 0]
+            near = []
+            mine = group_of[i]
+            for g in range(mine, group_of[others[-1]] + 1 if len(others) else mine):
+                some = others[(others >= start[g]) & (others < start[g] + count[g])]
+                differ = np.bitwise_count(fold(g, width[i])[some - start[g]] ^ bits[mine][i - start[mine]]).sum(axis=1, dtype=np.int64)
+                near.append(some[differ <= (100 - percent) * (size[i] + size[some]) // (100 + percent)])
+            others = np.concatenate(near) if near else others
+            if not len(others):
+                continue
+            if whole:
+                common = sets.common(i, others)
+                others = others[100 * common >= percent * (size[i] + size[others] - common)]
+            links[i] += len(others)
+            links[others] += 1
+            if not whole:
+                continue
+            apart = np.unique(comp[others][comp[others] != comp[i]])
+            joined.append(np.stack([np.full(len(apart), comp[i]), apart]))
+        some = np.flatnonzero(links)
+        if not whole:
+            return pa.table({"hub": pa.array(np.full(len(some), hub)), "node": pa.array(node[some])})
+        a, b = forest(*np.concatenate([np.zeros((2, 0), np.int64), *joined], axis=1))
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.table({"node": pa.concat_arrays([pa.array(node[some]), none(len(a))]), "k": pa.concat_arrays([pa.array(links[some]), none(len(a))]), "a": pa.concat_arrays([none(len(some)), pa.array(a)]), "b": pa.concat_arrays([none(len(some)), pa.array(b)])})
 
     return run
 
 
+def _units(clusters, rows, heavy):
+    """The rows of the members of clusters (hub, node), grouped into units of one or two blocks (hub, first, second)."""
+    bytes_of = clusters.join(rows.select("node", (sum(F.octet_length(c) for c in heavy) + 8 * F.size("hubs") + 32).alias("bytes")), "node")
+    sized = bytes_of.groupBy("hub").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = clusters.join(sized, "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block")
+    return dealt.join(rows, "node").groupBy("hub", "first", "second")
+
+
 def _close_groups(links, members, verifier):
-    """(links, components) with the pairs that the stars left open: members of one large group in different components.
+    """(number of links by class, components) with the pairs that the stars left out: members of one large group.
 
-    Members of the groups with one hub (their smallest member) make a cluster. Clusters
-    with several components are compared by sketches, in units of one or two blocks of
-    bounded size, of which no two members of the largest component are compared; only
-    pairs that may be linked leave a unit, and whole sets decide on them.
+    Members of the groups with one hub (their smallest member) make a cluster. All pairs of
+    a cluster are compared in units of one or two blocks of bounded size: by sketches, then
+    the members of pairs that these leave by whole sets. A unit gives the number of links of
+    each member, not the links, and what joins components. A pair counts in the first
+    cluster that both are in; a verified pair counts by itself if there is none.
     """
     comp = components(links)
-    named = settle(members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "named")
-    open_keys = named.groupBy("key").agg(F.min("node").alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "hub")
-    clusters = settle(named.join(open_keys, "key").select("hub", "node", "comp").distinct(), "clusters")
+    named = settle(members.join(members.groupBy("key").agg(F.min("node").alias("hub")), "key").select("hub", "node").distinct(), "named")
+    # the star has compared both members of a cluster of two
+    large = named.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).filter("k > 2").select("hub")
+    clusters = settle(named.join(large, "hub"), "clusters")
+    ends = lambda rows: rows.select(F.col("a").alias("cls")).union(rows.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     if clusters.isEmpty():
-        return links, comp
+        return ends(links), comp
+    hubs = settle(clusters.groupBy("node").agg(F.sort_array(F.collect_list("hub")).alias("hubs")), "hubs")
     one = verifier.filled.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumnRenamed("cls", "node")
-    rows = settle(clusters.join(one, "node"), "cluster-sketches")
-    by_comp = rows.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("sketch") + 32).alias("bytes"))
-    sized = by_comp.groupBy("hub").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("bytes").alias("bytes"))
-    sized = sized.select("hub", F.col("top.comp").alias("top"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    rows = rows.join(sized, "hub").withColumn("main", F.col("comp") == F.col("top")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = ["hub", "first", "second"]
-    rows = rows.select("hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "comp", "n", "main", "sketch")
-    near = settle(rows.groupBy(*unit).applyInArrow(_near_pairs(verifier.percent), "a long, b long"), "within").distinct()
-    more = verifier.verified(settle(near, "within-near"), "links-within")
+    told = settle(hubs.join(one, "node"), "cluster-sketches")
+    maybe = settle(_units(clusters, told, ["sketch"]).applyInArrow(_unit_links(verifier.percent, False), "hub long, node long"), "maybe").distinct()
+    maybe = settle(maybe, "maybe-linked")
+    sets = verifier.sets_of(maybe.select(F.col("node").alias("cls")).distinct(), "clusters")
+    told = verifier.joined(told, sets, "node", "members").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    told = settle(told, "cluster-sets")
+    within = settle(_units(maybe, told, ["sketch", "members"]).applyInArrow(_unit_links(verifier.percent, True), "node long, k long, a long, b long"), "within")
+    side = lambda c: hubs.select(F.col("node").alias(c), F.col("hubs").alias(f"_{c}"))
+    apart = links.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(~F.coalesce(F.arrays_overlap("_a", "_b"), F.lit(False)))
+    counted = within.filter("node is not null").select(F.col("node").alias("cls"), F.col("k").alias("n_links"))
+    counts = ends(apart).union(counted).groupBy("cls").agg(F.sum("n_links").alias("n_links"))
     # the components so far are stars, so their edges stand for all links
-    return links.union(more).distinct(), components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    more = within.filter("node is null").select("a", "b")
+    return counts, components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
-def _by_document(described, links, comp):
+def _by_document(described, counts, comp):
     filled = described.filter("n > 0")
     ids = filled.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    named = ids.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(ends, "cls", "left")
+    named = ids.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(counts, "cls", "left")
     named = named.select("cls", "class_id", F.coalesce("component", "cls").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     lowest = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = settle(named.join(lowest, "component").select("cls", "class_id", "n_links", "component_id"), "classes")
