@@ -246,6 +246,16 @@ def test_a_text_that_repeats_itself(spark):
     assert {r.doc_id for r in out} == {1, 2, 3} and len(out) < 100
 
 
+def test_stretches_of_repeated_lines_are_told_once(spark):
+    """Lines that stand many times in both of two documents: all their words are reported, by few rows."""
+    one, two = prose(25, 81).split(), prose(25, 82).split()
+    rows = [(1, " ".join([*prose(30, 83).split(), *one * 100, *two * 40])), (2, " ".join([*two * 60, *prose(30, 84).split(), *one * 90]))]
+    out = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {k: set().union(*(range(r.start, r.end) for r in out if r.doc_id == k)) for k in (1, 2)}
+    assert spans == {1: set(range(30, 30 + 3500)), 2: {*range(1500), *range(1530, 1530 + 2250)}}
+    assert len(out) < 120
+
+
 def test_reported_documents_do_not_depend_on_the_layout(spark):
     """Exact passages in random places, some of whose parts stand in other documents too, against brute force."""
     rng = random.Random(5)
@@ -325,6 +335,25 @@ def test_passages_whose_parts_stand_in_earlier_documents(spark, parts):
         assert b and c and min(in_b, in_c) >= sum(parts)
 
 
+@pytest.mark.parametrize("others", [1, 2, 3])
+def test_edited_passages_between_other_holders_of_their_parts(spark, others):
+    """Documents with an edited passage meet, although smaller ids and ids between them hold each of its parts."""
+    rows, want = [], set()
+    for k in range(10):
+        text = prose(60, 70_000 + k).split()
+        pieces = [" ".join(text[a : a + 20]) for a in (0, 20, 40)]
+
+        def holder(seed, pieces=pieces):
+            return " ".join(prose(40, 80_000 + 100 * seed + j) + " " + p for j, p in enumerate(reversed(pieces)))
+
+        n = len(rows)
+        texts = [*(holder(10 * k + j) for j in range(others)), around(" ".join(text), 90_000 + 4 * k), *(holder(10 * k + 5 + j) for j in range(others)), around(edited(" ".join(text), 15, k), 90_002 + 4 * k)]
+        rows += [(n + j, t) for j, t in enumerate(texts)]
+        want |= {n + others, n + len(texts) - 1}
+    out = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in out} == want
+
+
 @pytest.mark.parametrize("size, share, least", [(50, 0.1, 1.0), (50, 0.25, 0.9), (60, 0.15, 1.0), (60, 0.25, 0.95), (100, 0.25, 1.0)])
 def test_recall_of_edited_passages(spark, size, share, least):
     """Passages with words replaced at random places, within the promised identity."""
