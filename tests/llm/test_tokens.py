@@ -69,3 +69,24 @@ def test_odd_rows(odd, odd_rows, empty, byte_library, piece_library):
         assert r.over_limit == (r.n_tokens > 100) and table[-1] == r.n_tokens and table[r.fit_chars] <= 100
         assert r.fit_chars == len(r.text or "") or (table[r.fit_chars + 1 :] > 100).all()
     assert encode_decode(empty, BYTES).count() == 0 and token_counts(empty, PIECES, 1).count() == 0
+
+
+def test_the_longest_prefix_is_looked_for_from_its_end():
+    """It is that of the prefix table, and the counts of few segments are read for it."""
+    bpe = PieceBpe.load(PIECES)
+    text = "Some words, été 12345\n\n   and   spaces " * 100
+    counts, segments, read = bpe.prefix_counts(text), bpe.segments(text), []
+
+    class Cache(dict):
+        def __getitem__(self, key):
+            read.append(key)
+            return super().__getitem__(key)
+
+    held, bpe.cache = bpe.cache, Cache(bpe.cache)
+    try:
+        for limit in (0, 1, 2, 7, 100, 501, 900):
+            read.clear()
+            assert bpe.fit(segments, limit) == max(k for k, n in enumerate(counts.tolist()) if n <= limit)
+            assert len(read) <= 4
+    finally:
+        bpe.cache = held

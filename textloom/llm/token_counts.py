@@ -141,17 +141,20 @@ class PieceBpe:
 
     def fit(self, segments: list[str], limit: int) -> int:
         """Characters of the longest prefix of the text that has at most `limit` tokens."""
-        before, best, at = 0, 0, -1
+        before, spent = 0, []
         for s in segments:
-            counts = np.array(self.cache[s])
-            good = np.flatnonzero(counts[1:] + before <= limit)
-            if len(good):
-                best = at + int(good[-1]) + 1
-            before += int(counts[-1])
-            at += len(s)
+            spent.append(before)
+            before += self.total[s]
             if before >= limit:
                 break
-        return max(best, 0)
+        # from the last segment that the limit reaches back to one with a prefix within it
+        at = sum(map(len, segments[: len(spent)])) - 1
+        for s, before in zip(reversed(segments[: len(spent)]), reversed(spent), strict=True):
+            at -= len(s)
+            good = np.flatnonzero(np.frombuffer(self.cache[s], dtype=np.uint32)[1:] + before <= limit)
+            if len(good):
+                return max(at + int(good[-1]) + 1, 0)
+        return 0
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count of the first 0, 1, ... len(text) characters."""
