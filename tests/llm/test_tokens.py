@@ -1,6 +1,7 @@
 """Encoding, decoding and token counts against the libraries."""
 
 import hashlib
+import sys
 
 import numpy as np
 import pytest
@@ -90,3 +91,23 @@ def test_the_longest_prefix_is_looked_for_from_its_end():
             assert len(read) <= 4
     finally:
         bpe.cache = held
+
+
+def test_bpe_memory_of_words(monkeypatch):
+    def word(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    # words that hardly repeat: a worker keeps few of them
+    coder = ByteLevelBpe(BYTES)
+    for k in range(0, 330_000, 30_000):
+        coder.encode_batch([" ".join(word(i) for i in range(k, k + 30_000))])
+    assert sys.getsizeof(coder.cache) + sum(sys.getsizeof(w) + sys.getsizeof(x) for w, x in coder.cache.items()) < 30 << 20
+    # beyond the bound the words of the block stay, and results are those of an empty cache
+    monkeypatch.setattr("textloom.llm.bpe.CACHE_WORDS", 40)
+    coder = ByteLevelBpe(BYTES)
+    texts = [" ".join(["common words", *(word(i) for i in range(k, k + 12))]) for k in range(0, 90, 6)]
+    learnt = []
+    walk = coder.core.walk
+    coder.core.walk = lambda words, *rest: learnt.extend(words) or walk(words, *rest)
+    assert [coder.encode_batch([t])[0] for t in texts] == [ByteLevelBpe(BYTES).encode_batch([t])[0] for t in texts]
+    assert learnt.count(b" words") == 1 and len(learnt) > 40

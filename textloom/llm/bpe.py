@@ -21,9 +21,9 @@ from pyspark.sql.types import StructType
 from . import textkit
 
 #: Distinct words whose encodings a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Text whose new words are sorted into one trie.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Pairs of tokens that are remembered.
 FITS = 1_000_000
 
@@ -201,8 +201,8 @@ class ByteLevelBpe:
         """Encode distinct words that the cache lacks, through their trie."""
         new = words - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = words
+            # rare words are most of the cache: those of this block are likelier to come again
+            self.cache = {w: self.cache[w] for w in words - new}
         for name in self.special.keys() & new:
             self.cache[name] = self.code[self.special[name]]
         cache, plain = self.cache, {w.encode(): w for w in new - self.special.keys()}
