@@ -366,3 +366,51 @@ def test_recall_of_edited_passages(spark, size, share, least):
         pairs.append([around(passage, 60_000 + 4 * k), around(" ".join(copy), 60_002 + 4 * k)])
     found = planted(spark, pairs)
     assert sum(b and c for b, c, _, _ in found) >= least * len(found)
+
+
+def test_passages_read_each_word_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 32, 4000, dtype=np.uint64).astype("<u4")
+    read = []
+    mix = substring.textkit.mix
+    monkeypatch.setattr(substring.textkit, "mix", lambda x: read.append(len(x)) or mix(x))
+    batch = pa.record_batch([pa.array([7], pa.int64()), pa.array([3], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["doc", "x0", "w"])
+    rows = [r for b in substring._windows(1)([batch]) for r in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True)]
+    found = np.concatenate([substring._records(raw, substring._SEED) for kind, raw in rows if not kind])
+    assert sorted(found["pos"].tolist()) == list(range(3, 3 + 4000 - substring.MIN_WORDS + 1))
+    # the words, the windows, and little else
+    assert sum(read) < 3 * len(words)
+    read.clear()
+    assert substring.local_runs(words, words[100:], -4000, 4000) == [(100, 0, 3900)]
+    assert sum(read) == 7900
+
+
+def test_parts_of_chains_with_and_without_numpy(monkeypatch):
+    rng = random.Random(11)
+    for _ in range(150):
+        a = [rng.randrange(5000) for _ in range(rng.randrange(60, 160))]
+        b = []
+        for w in a:
+            kind = rng.random()
+            b += [w] if kind > 0.25 else [] if kind > 0.17 else [rng.randrange(5000)] if kind > 0.08 else [w, rng.randrange(5000)]
+        b[rng.randrange(len(b)) : 0] = [rng.randrange(5000) for _ in range(rng.randrange(40))]
+        runs = substring.local_runs(np.array(a, "<u4"), np.array(b, "<u4"), -500, 500)
+        for chain in substring.chains(runs, 10):
+            out = {}
+            for few in (0, 300):
+                monkeypatch.setattr(substring, "FEW_PARTS", few)
+                out[few] = substring.align(chain, a, b)
+            assert out[0] == out[300]
+            for x, xe, y, ye, edits in out[0]:
+                size = max(xe - x, ye - y)
+                assert min(xe - x, ye - y) >= 50 and substring.edit_distance(a[x:xe], b[y:ye]) <= edits <= 0.25 * size
+
+
+def test_order_of_occurrences():
+    rng = np.random.default_rng(3)
+    found = np.empty(3000, substring._SEED)
+    found["hash"], found["doc"], found["pos"] = rng.integers(0, 900, 3000), rng.integers(-4, 4, 3000), rng.integers(0, 50, 3000)
+    assert (substring._sorted(found) == found[np.lexsort((found["pos"], found["doc"], found["hash"]))]).all()
+    assert len(substring._sorted(found[:0])) == 0
