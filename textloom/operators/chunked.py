@@ -9,6 +9,7 @@ writes the output of every chunk on its own.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -16,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .machine import between, summary
 from .program import Program
 
 
@@ -38,68 +38,96 @@ def run_chunked(program: Program, df: DataFrame, key: str = "doc_id", seq: str =
         raise ValueError("registers carry text across chunks: run the program on whole documents or as a stream")
     stages = program.stages()
     kind = df.schema[key].dataType.simpleString()
-    df = df.select(F.col(key), F.col(seq).cast("long").alias(seq), F.col(chunk).alias(chunk))
-    last = F.max(seq).over(Window.partitionBy(key))
-    marked = df.withColumn("_last", F.col(seq) == last)
+    df = df.filter(F.col(key).isNotNull()).select(F.col(key), F.col(seq).cast("long").alias(seq), F.col(chunk).alias(chunk))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = stages.machines[0]
         for pdf in batches:
-            found = [json.dumps(summary(machine, t, bool(end))) for t, end in zip(pdf[chunk], pdf["_last"], strict=True)]
-            opening = [json.dumps(_opening(machine, t, bool(end))) if s == 0 else "" for t, end, s in zip(pdf[chunk], pdf["_last"], pdf[seq], strict=True)]
-            yield pd.DataFrame({key: pdf[key], seq: pdf[seq], "_summary": found, "_opening": opening})
-
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        machine = stages.machines[0]
-        pdf = pdf.sort_values(seq)
-        maps = [{int(k): v for k, v in json.loads(s).items()} for s in pdf["_summary"]]
-        entries: list[list[int]] = []
-        nodes = json.loads(pdf["_opening"].iloc[0])
-        for k in range(1, len(maps)):
-            entries.append(nodes)
-            seen: dict[int, None] = {}
-            for n in nodes:
-                for m in maps[k].get(n, ()):
-                    seen.setdefault(m)
-            nodes = list(seen)
-        out = pd.DataFrame({key: pdf[key], seq: pdf[seq], "_entry": -1, "_leave": -1})
-        if machine.graph.end not in nodes:
+            found = stages.batches[0].summaries(pdf[chunk].tolist(), (pdf[seq] == 0).tolist())
+            # many chunks share a summary
+            told: dict[int, str] = {}
+            for s in found:
+                if id(s) not in told:
+                    told[id(s)] = json.dumps(s)
+            yield pd.DataFrame({key: pdf[key], seq: pdf[seq], "_summary": [told[id(s)] for s in found]})
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fix = _Composer(stages.machines[0].graph.end).fix
+        names: list = []
+        places: list[int] = []
+        told: list[str] = []
+        begin, fixed, kept = 0, [], None
+
+        def frame(n: int) -> pd.DataFrame:
+            """The rows of the documents that are done, which leave the lists."""
+            enter, leave = zip(*fixed, strict=True)
+            out = pd.DataFrame({key: pd.Series(names[:n], dtype=kept), seq: places[:n], "_entry": enter, "_leave": leave})
+            del names[:n], places[:n], told[:n], fixed[:]
             return out
-        at, enter, leave = machine.graph.end, [-1] * len(maps), [-1] * len(maps)
-        for k in range(len(maps) - 1, -1, -1):
-            leave[k] = at
-            if k:
-                # the best node of those that lead there
-                at = next(n for n in entries[k - 1] if at in maps[k].get(n, ()))
-                enter[k] = at
-        return out.assign(_entry=enter, _leave=leave)
+
+        for pdf in batches:
+            kept = pdf[key].dtype
+            for name, place, summary in zip(pdf[key].tolist(), pdf[seq].tolist(), pdf["_summary"].tolist(), strict=True):
+                if len(names) > begin and name != names[-1]:
+                    fixed += fix(places[begin:], told[begin:])
+                    begin = len(names)
+                    if begin >= 10_000:
+                        yield frame(begin)
+                        begin = 0
+                names.append(name)
+                places.append(place)
+                told.append(summary)
+        if names:
+            fixed += fix(places[begin:], told[begin:])
+            yield frame(len(names))
 
     def third(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = stages.machines[0]
         for pdf in batches:
-            texts = []
-            for text, s, entry, leave in zip(pdf[chunk], pdf[seq], pdf["_entry"], pdf["_leave"], strict=True):
-                if leave < 0:
-                    texts.append(None)
-                    continue
-                path = between(machine, text, None if s == 0 else entry, leave)
-                texts.append("".join(a if isinstance(a, str) else symbol for actions, symbol in path for a in actions))
-            yield pd.DataFrame({key: pdf[key], seq: pdf[seq], "output": pd.Series(texts, dtype=object)})
-
-    told = marked.mapInPandas(first, f"{key} {kind}, {seq} long, _summary string, _opening string")
-    fixed = told.groupBy(key).applyInPandas(second, f"{key} {kind}, {seq} long, _entry int, _leave int")
+            good = pdf["_leave"] >= 0
+            rows = pdf[good]
+            entries = [None if s == 0 else n for s, n in zip(rows[seq].tolist(), rows["_entry"].tolist(), strict=True)]
+            done = iter(stages.batches[0].between(rows[chunk].tolist(), entries, rows["_leave"].tolist()))
+            texts = [next(done) if g else None for g in good]
+            yield pd.DataFrame({key: pdf[key], seq: pdf[seq], "output": pd.Series(texts, index=pdf.index, dtype=object)})
+
+    told = df.mapInPandas(first, f"{key} {kind}, {seq} long, _summary string")
+    fixed = told.repartition(key).sortWithinPartitions(key, seq).mapInPandas(second, f"{key} {kind}, {seq} long, _entry int, _leave int")
     return df.join(fixed, [key, seq]).mapInPandas(third, f"{key} {kind}, {seq} long, output string")
 
 
-def _opening(machine, text: str, final: bool) -> list[int]:
-    """Nodes after the first chunk of a document, best first."""
-    state = machine.begin()[0]
-    for symbol in text:
-        step = machine.step(state, symbol)
-        if step is None:
-            return []
-        state = step.state
-    return [n for n in machine.states[state] if (n == machine.graph.end) == final]
+class _Composer:
+    """Finds where the accepted path of a document enters and leaves each chunk, from the summaries alone."""
+
+    def __init__(self, end: int):
+        self.end = end
+        self.read = functools.lru_cache(maxsize=10_000)(lambda told: {int(k): tuple(v) for k, v in json.loads(told).items()})
+        self.after = functools.lru_cache(maxsize=100_000)(self._after)
+        self.before = functools.lru_cache(maxsize=100_000)(self._before)
+
+    def _after(self, nodes: tuple[int, ...], told: str, last: bool) -> tuple[int, ...]:
+        """Nodes after a chunk, best first; after the last chunk only the end."""
+        maps = self.read(told)
+        return tuple(dict.fromkeys(m for n in nodes for m in maps.get(n, ()) if (m == self.end) == last))
+
+    def _before(self, nodes: tuple[int, ...], told: str, at: int) -> int:
+        """The best node of those that lead there."""
+        maps = self.read(told)
+        return next(n for n in nodes if at in maps.get(n, ()))
+
+    def fix(self, places: list[int], told: list[str]) -> list[tuple[int, int]]:
+        """(entry, leave) of each chunk of one document, in order; -1, -1 if it is rejected."""
+        if places[0] != 0:
+            raise ValueError("the chunks of a document are numbered from 0")
+        nodes, entries, top = (-1,), [], len(told) - 1
+        for k, summary in enumerate(told):
+            entries.append(nodes)
+            nodes = self.after(nodes, summary, k == top)
+        if not nodes:
+            return [(-1, -1)] * len(told)
+        at, out = self.end, []
+        for nodes, summary in zip(reversed(entries), reversed(told), strict=True):
+            leave, at = at, self.before(nodes, summary, at)
+            out.append((at, leave))
+        return out[::-1]
 
 
 def join_chunks(df: DataFrame, key: str, seq: str = "seq", output: str = "output", name: str = "output") -> DataFrame:
