@@ -11,6 +11,7 @@ from textloom.operators.chunked import _Composer, run_chunked, split_chunks
 from textloom.operators.machine import summary
 
 LINES = "main := (/[^\\n]*[.]/ | ~/[^\\n]*/) (/\\n/ (/[^\\n]*[.]/ | ~/[^\\n]*/))*"
+WORDS = 'main := ("\\"" /[a-zA-Z]+/ "\\"" | /./)*'
 STRICT = 'main := "s" (/ab/ "X" | ~/a/ "y" | /b+?/ "Z" | /\\n/ | /[.]/)* "e" /q?/'
 
 
@@ -36,7 +37,7 @@ def _chunked(program, texts, size):
 
 
 @pytest.mark.parametrize("few", [0, 3, 12])
-@pytest.mark.parametrize("program", [LINES, STRICT])
+@pytest.mark.parametrize("program", [LINES, WORDS, STRICT])
 def test_chunks_in_blocks(monkeypatch, program, few):
     """Chunks that step together tell and write what each tells and writes alone."""
     monkeypatch.setattr(batches, "FEW", few)
@@ -47,7 +48,7 @@ def test_chunks_in_blocks(monkeypatch, program, few):
         assert _chunked(p, texts, size) == [p.run(t).value for t in texts]
 
 
-@pytest.mark.parametrize("program", [LINES])
+@pytest.mark.parametrize("program", [LINES, WORDS])
 def test_chunks_ask_the_machine_once(monkeypatch, program):
     """The machine is asked for each new step, not for each symbol and entry node; no document has a call of its own."""
     stages = compile_program(program).stages()
@@ -58,7 +59,7 @@ def test_chunks_ask_the_machine_once(monkeypatch, program):
     assert 0 < len(asked) < 500
 
 
-@pytest.mark.parametrize("program", [LINES])
+@pytest.mark.parametrize("program", [LINES, WORDS])
 def test_chunks_move_once(spark, program):
     """Of the text only the last pass has an exchange, and documents are composed in batches."""
     df = spark.createDataFrame([(1, "a.\nb"), (2, None), (3, "")], "doc_id long, text string")
