@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from textloom import compile_program
@@ -67,3 +69,31 @@ def test_chunks_move_once(spark, program):
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "FlatMapGroupsInPandas" not in plan
     assert {(r.doc_id, r.seq) for r in done.collect()} == {(1, 0), (1, 1), (3, 0)}
+
+
+THREE = 'start: strip >> join >> quote\nstrip := (~/[0-9]+/ | /./)*\njoin := (~/\\n/ "|" | /./)*\nquote := ("<" /[A-Z]+/ ">" | /./)*'
+
+
+@pytest.mark.parametrize("program", [THREE, "main := a@/[^ ]*/ (/ / | /[^ ]/)* !a"])
+def test_stages_in_parts(monkeypatch, program):
+    """Outputs put together in parts, and of an Arrow array, are those of each text alone."""
+    monkeypatch.setattr(batches, "BLOCK", 300)
+    monkeypatch.setattr(batches, "PART", 7)
+    rng, p = random.Random(5), compile_program(program)
+    texts = [None, "", *["".join(rng.choices("aB1\n é", k=k)) for k in (1, 6, 7, 8, 90, 3, 90)], None]
+    want = [None if t is None else p.run(t).value for t in texts]
+    assert [o.value for o in p.stages().run_all(texts)] == want
+    assert p.stages().run_array(pa.array(texts, pa.string())).to_pylist() == want
+    assert p.stages().run_array(pa.array([None], pa.string())).to_pylist() == [None]
+
+
+def test_stages_hold_one_block():
+    """What a batch needs besides its texts is that of one block, put together in parts."""
+    stages = compile_program(THREE).stages()
+    texts = ["Some TEXT of 12 words\n" * 100] * 950  # 2,090,000 symbols: one block
+    stages.run_all(texts[:20])
+    tracemalloc.start()
+    stages.run_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * sum(map(len, texts))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +18,7 @@ from textloom.plans.lower import NotNative, acceptance, fields, inline, literal,
 from textloom.plans.parser import parse_program, parse_regex
 from textloom.plans.syntax import Near, Source
 
-from .batch import Batch
+from .batch import Batch, blocks
 from .machine import Machine, Outcome
 
 ENGINES = ("auto", "native", "kernel", "backtrack")
@@ -43,12 +46,30 @@ class Stages:
         """The outcome of each text; that of None is a rejection without a place."""
         if engine != "kernel":
             return [self.run(t, engine, first, last) for t in texts]
-        out = [Outcome(t is not None, t, None) for t in texts]
-        for batch in self.batches[first:last]:
-            done = batch.run([o.value if o.ok else None for o in out])
-            out = [o if d is None else d for o, d in zip(out, done, strict=True)]
+        out = [Outcome(False, None, None)] * len(texts)
+        # a block goes through all stages before the next, so that no more is held between stages
+        for rows in blocks([None if t is None else len(t) for t in texts]):
+            done = [Outcome(True, texts[k], None) for k in rows]
+            for batch in self.batches[first:last]:
+                after = batch.run([o.value if o.ok else None for o in done])
+                done = [o if d is None else d for o, d in zip(done, after, strict=True)]
+            for k, o in zip(rows, done, strict=True):
+                out[k] = o
         return out
 
+    def run_array(self, values: pa.Array, engine: str = "kernel", first: int = 0, last: int | None = None) -> pa.Array:
+        """The outputs of an Arrow array of texts; only those of a block are Python strings at a time."""
+        parts, order = [], []
+        for rows in blocks(pc.utf8_length(values).to_pylist()):
+            texts = values.take(pa.array(rows)).to_pylist()
+            parts.append(pa.array([o.value for o in self.run_all(texts, engine, first, last)], values.type))
+            order += rows
+        if not parts:
+            return pa.nulls(len(values), values.type)
+        place = np.full(len(values), -1, dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return pa.concat_arrays(parts).take(pa.array(place, mask=place < 0))
+
     def run(self, text: str | None, engine: str = "kernel", first: int = 0, last: int | None = None) -> Outcome:
         if text is None:
             return Outcome(False, None, None)
@@ -115,9 +136,9 @@ class Program:
 
             return run
 
-        @F.pandas_udf("string")
-        def run_text(values: pd.Series) -> pd.Series:
-            return pd.Series([o.value for o in stages.run_all(values, engine, first, last)], dtype=object)
+        @F.arrow_udf("string")
+        def run_text(values: pa.Array) -> pa.Array:
+            return stages.run_array(values, engine, first, last)
 
         return run_text
 
